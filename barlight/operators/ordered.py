@@ -95,13 +95,18 @@ def with_ordinal(
     order: Sequence[str | Column] = ("date",),
     chunk: Column | None = None,
     out: str = "idx",
+    total: str | None = None,
 ) -> DataFrame:
-    """0-based position of each row in its key: position in its day plus rows of earlier days."""
+    """0-based position of each row in its key: position in its day plus rows of earlier days.
+
+    ``total`` names a further column with the row count of the key.
+    """
     chunk = F.to_date("date") if chunk is None else chunk
     rows = df.withColumn("_chunk", chunk)
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    counted = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    starts = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), *counted)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
         rows.withColumn("_pos", F.row_number().over(inside) - 1)

@@ -11,4 +11,4 @@ def all_checks():
     return CHECKS
 
 
-PARTS = ["loading", "features"]
+PARTS = ["loading", "features", "trading", "evaluation"]
