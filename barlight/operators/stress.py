@@ -46,7 +46,7 @@ def regime_filters(regimes: DataFrame, requested: Sequence[str] | None) -> DataF
         elif item == "all":
             parts.append(F.array(F.lit("all")))
         else:
-            parts.append(F.filter("seen", lambda name, item=item: name == item))
+            parts.append(F.array_intersect(F.array(F.lit(item)), "seen"))
     wanted = F.array_distinct(F.concat(*parts))
     wanted = F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.lit("all")))
     return seen.select("symbol", F.posexplode(wanted).alias("position", "regime_filter"))

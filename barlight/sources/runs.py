@@ -18,6 +18,7 @@ TABLES = [
     "oos_regime_blocks", "strategy_metrics_oos", "strategy_per_regime_metrics_oos", "strategy_regime_rankings_oos",
     "models", "runs",
 ]
+CATALOGUE = ["models", "runs"]  # one set of rows per run, not per model
 PRIMARY_ROWS = 100_000
 
 
@@ -31,11 +32,13 @@ class RunStore:
         """Replace this run's and model's part of the table; running it again gives the same files."""
         if table not in TABLES:
             raise ValueError(f"unknown table {table!r}")
-        rows = df.withColumns({"run_id": F.lit(run_id), "model_id": F.lit(model_id or "-")})
+        rows, parts = df.withColumn("run_id", F.lit(run_id)), ["run_id"]
+        if table not in CATALOGUE:
+            rows, parts = rows.withColumn("model_id", F.lit(model_id or "-")), ["run_id", "model_id"]
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id", "model_id")
+            .partitionBy(*parts)
             .parquet(f"{self.root}/{table}")
         )
 
@@ -51,10 +54,10 @@ class RunStore:
         except AnalysisException:
             return self.spark.createDataFrame([], "run_id string, model_id string")
         rows = rows.where(F.col("run_id") == run_id)
-        if table in ("models", "runs"):
+        if table in CATALOGUE:
             return rows
-        chosen = selected_model(self.read("models", run_id), model_id).select(F.col("_chosen").alias("model_id"))
-        return rows.join(chosen, "model_id", "left_semi")
+        on = [c for c in ("symbol", "model_id") if c in rows.columns]
+        return rows.join(selected_model(self.read("models", run_id), model_id).select(*on).distinct(), on, "left_semi")
 
     def load(self, run_id: str, model_id: str | None = None) -> dict[str, DataFrame]:
         """All tables of a run for one model."""
@@ -66,8 +69,7 @@ def selected_model(models: DataFrame, model_id: str | None = None) -> DataFrame:
     wanted = F.lit(False) if model_id is None else F.col("model_id") == model_id
     order: list[Column] = [wanted.desc(), F.col("is_best").desc(), F.col("rank"), F.col("model_id")]
     place = F.row_number().over(Window.partitionBy("run_id", "symbol").orderBy(*order))
-    out = models.withColumn("_place", place).where(F.col("_place") == 1)
-    return out.withColumn("_chosen", F.col("model_id")).drop("_place")
+    return models.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def model_catalogue(

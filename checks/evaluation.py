@@ -11,13 +11,11 @@ from barlight.operators import regimes as rg
 from barlight.operators import report as rp
 from barlight.operators import stress as st
 from barlight.operators import walkforward as wf
-from barlight.schema import REGIME_NAMES
 from barlight.session import staged
-from barlight.sources import runs
 from checks import trading as tr
-from checks.registry import check, rnd, rnds, rounded, view
-from checks.trading import FLOATS, K, TRADE_FLOATS, metrics_sql, q, returns_sql, trade_summary_sql, trades_sql
-from checks.views import bars, indexed
+from checks.registry import check, rnd, rnds, rounded, shared, view
+from checks.trading import FLOATS, K, metrics_sql, q, returns_sql, trade_summary_sql, trades_sql
+from checks.views import indexed
 
 PLAN = wf.WalkForward(train=600, test=240, step=240, least_train=400)
 OVERLAP = wf.WalkForward(train=600, test=240, step=100, least_train=400)
@@ -127,6 +125,7 @@ def wf_features(spark, sf):
     return {name: rg.complete_rows(made[name], cols).withColumn("candidate", F.lit(name)) for name, cols in MODELS.items()}
 
 
+@shared
 def wf_labels(spark, sf, names=tuple(MODELS)):
     counts = staged(wf.bar_counts(indexed(spark, sf)))
     out = None
@@ -136,7 +135,7 @@ def wf_labels(spark, sf, names=tuple(MODELS)):
         given = valid.select(*MK).withColumn("centers", tr.centers())
         part = wf.labels_from_centers(train, test, given, MK).select(*MK, "idx", "date", *rg.AXES, "z", "regime_id", "regime_name")
         out = part if out is None else out.unionByName(part)
-    return staged(out)
+    return out
 
 
 @check("b3_walk_forward_slices", "SELECT * FROM slices15o")
@@ -216,7 +215,7 @@ view(
 
 
 def wf_inputs(spark, sf):
-    signals = staged(tr.rules(spark, sf).where(F.col("strategy").isin(STRATS)))
+    signals = tr.rules(spark, sf).where(F.col("strategy").isin(STRATS))
     return indexed(spark, sf), signals, wf_labels(spark, sf, (fx.MINUTE,))
 
 
@@ -381,11 +380,19 @@ SUM_FLOATS = [
     "terminal_mean", "terminal_std", "terminal_p5", "terminal_p50", "terminal_p95", "terminal_cvar_95", "terminal_equity_p5", "terminal_equity_p50",
     "terminal_equity_p95", "max_drawdown_p50", "max_drawdown_p95", "probability_of_loss", "prob_drawdown_exceed", "risk_of_ruin",
 ]
+EQUITY = [c for c in SUM_FLOATS if "equity" in c]
+RATIOS = [c for c in SUM_FLOATS if c not in EQUITY]
+SUM_SQL = rnds(*RATIOS, digits=9) + ", " + rnds(*EQUITY, digits=4)
+SUM_DIGITS = {c: 4 for c in EQUITY}
+
+
+@shared
+def stress_regimes(spark, sf):
+    return st.dated_regimes(tr.rule_returns(spark, sf), tr.labelled(spark, sf))
 
 
 def stress_inputs(spark, sf):
-    returns = tr.rule_returns(spark, sf).where(F.col("strategy").isin(ST))
-    return returns, staged(st.dated_regimes(returns, tr.labelled(spark, sf)))
+    return tr.rule_returns(spark, sf).where(F.col("strategy").isin(ST)), stress_regimes(spark, sf)
 
 
 def stress_paths(spark, sf, models=tuple(st.STRESS_MODELS)):
@@ -401,8 +408,14 @@ def stress(spark, sf):
     )
 
 
+@shared
 def saved(spark, sf):
-    return staged(stress(spark, sf).paths)
+    return stress(spark, sf).paths
+
+
+@shared
+def saved_summary(spark, sf):
+    return stress(spark, sf).summary
 
 
 @check("j7_dated_regimes", "SELECT symbol, date, regime_name FROM streg")
@@ -441,30 +454,30 @@ def _(spark, sf):
     return rounded(stress(spark, sf).paths.drop("return"), 5)
 
 
-@check("p6_stress_suite", f"SELECT {SC}, simulations, horizon, {q(SUM_FLOATS)} FROM stsum")
+@check("p6_stress_suite", f"SELECT {SC}, simulations, horizon, {SUM_SQL} FROM stsum")
 def _(spark, sf):
-    return rounded(stress(spark, sf).summary, 6)
+    return rounded(stress(spark, sf).summary, 9, **SUM_DIGITS)
 
 
-@check("a16_stress_summary", f"SELECT {SC}, simulations, {q(SUM_FLOATS)} FROM stsum WHERE stress_model = 'block_bootstrap'")
+@check("a16_stress_summary", f"SELECT {SC}, simulations, {SUM_SQL} FROM stsum WHERE stress_model = 'block_bootstrap'")
 def _(spark, sf):
     ends = staged(st.path_ends(stress_paths(spark, sf, ["block_bootstrap"])))
-    return rounded(st.summary(ends).drop("horizon"), 6)
+    return rounded(st.summary(ends).drop("horizon"), 9, **SUM_DIGITS)
 
 
 @check("t2_first_paths", f"SELECT {P}, step, {rnd('equity', 5)} AS equity FROM steq WHERE simulation < 3")
 def _(spark, sf):
-    return rounded(rp.first_paths(stress(spark, sf).paths, 3).drop("return"), 5)
+    return rounded(rp.first_paths(saved(spark, sf), 3).drop("return"), 5)
 
 
 @check("f9_path_scope", f"SELECT {P}, step, {rnd('equity', 5)} AS equity FROM steq WHERE strategy = '{ST[0]}' AND regime_filter = 'all' AND stress_model IN ('gbm', 'block_bootstrap')")
 def _(spark, sf):
-    return rounded(rp.scoped_paths(stress(spark, sf).paths, [ST[0]], ["all"], ["gbm", "block_bootstrap"]).drop("return"), 5)
+    return rounded(rp.scoped_paths(saved(spark, sf), [ST[0]], ["all"], ["gbm", "block_bootstrap"]).drop("return"), 5)
 
 
-@check("f13_focus_row", f"SELECT {SC}, simulations, horizon, {q(SUM_FLOATS)} FROM stsum WHERE strategy = '{ST[1]}' AND regime_filter = 'all' AND stress_model = 'gbm'")
+@check("f13_focus_row", f"SELECT {SC}, simulations, horizon, {SUM_SQL} FROM stsum WHERE strategy = '{ST[1]}' AND regime_filter = 'all' AND stress_model = 'gbm'")
 def _(spark, sf):
-    return rounded(rp.focus(stress(spark, sf).summary, ST[1], "all", "gbm"), 6)
+    return rounded(rp.focus(saved_summary(spark, sf), ST[1], "all", "gbm"), 9, **SUM_DIGITS)
 
 
 _BANDS = ", ".join(f"{rnd(f'quantile_cont(equity, {p})', 5)} AS p{n}" for p, n in ((0.05, "05"), (0.25, "25"), (0.5, "50"), (0.75, "75"), (0.95, "95")))
@@ -477,12 +490,12 @@ view(
 
 @check("a21_path_bands", f"SELECT {SC}, step, {_BANDS}, {rnd('avg(equity)', 5)} AS mean FROM steq GROUP BY {SC}, step")
 def _(spark, sf):
-    return rounded(rp.path_bands(stress(spark, sf).paths, st.SCENARIO), 5)
+    return rounded(rp.path_bands(saved(spark, sf), st.SCENARIO), 5)
 
 
 @check("a22_terminal_frame", f"SELECT {P}, {q(['terminal_equity', 'terminal_return', 'max_drawdown'])} FROM stterm")
 def _(spark, sf):
-    return rounded(rp.terminal_frame(stress(spark, sf).paths), 6)
+    return rounded(rp.terminal_frame(saved(spark, sf)), 6)
 
 
 @check(
@@ -514,17 +527,17 @@ def _(spark, sf):
 
 @check("a26_mean_loss_probability", f"SELECT symbol, {rnd('avg(probability_of_loss)', 6)} AS probability_of_loss FROM stsum GROUP BY 1")
 def _(spark, sf):
-    return rounded(rp.mean_loss_probability(stress(spark, sf).summary), 6)
+    return rounded(rp.mean_loss_probability(saved_summary(spark, sf)), 6)
 
 
 @check("a27_average_paths", f"SELECT {SC}, step, {rnd('avg(equity)', 5)} AS average, {rnd('quantile_cont(equity, 0.5)', 5)} AS median FROM steq GROUP BY {SC}, step")
 def _(spark, sf):
-    return rounded(rp.average_paths(stress(spark, sf).paths, st.SCENARIO), 5)
+    return rounded(rp.average_paths(saved(spark, sf), st.SCENARIO), 5)
 
 
-_T5 = ["terminal_equity_p50", "terminal_equity_p95", "max_drawdown_p95", "probability_of_loss", "risk_of_ruin"]
+_T5 = rnds("terminal_equity_p50", "terminal_equity_p95", digits=4) + ", " + rnds("max_drawdown_p95", "probability_of_loss", "risk_of_ruin", digits=9)
 
 
-@check("t5_scenario_table", f"SELECT {SC}, simulations, horizon, {q(_T5)} FROM stsum ORDER BY stsum.probability_of_loss, stsum.risk_of_ruin")
+@check("t5_scenario_table", f"SELECT {SC}, simulations, horizon, {_T5} FROM stsum ORDER BY stsum.probability_of_loss, stsum.risk_of_ruin")
 def _(spark, sf):
-    return rounded(rp.scenario_table(stress(spark, sf).summary), 6)
+    return rounded(rp.scenario_table(saved_summary(spark, sf)), 9, **SUM_DIGITS)

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlight.session import staged
+
 
 @dataclass(frozen=True)
 class Check:
@@ -55,6 +57,26 @@ def with_views(body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed) + "\n" + body
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(fn):
+    """Write an intermediate once per session and data folder, as a saved run would hold it."""
+
+    def load(spark: SparkSession, sf_dir: str, *rest) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__module__, fn.__name__, *rest)
+        if key not in _SHARED:
+            _SHARED[key] = staged(fn(spark, sf_dir, *rest))
+        return _SHARED[key]
+
+    return load
+
+
+def forget() -> None:
+    """Drop the shared intermediates, so the next query does all its work itself."""
+    _SHARED.clear()
+
+
 def rounded(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:
     """Round every double column and drop the sign of zero, as the SQL side does with rnd()."""
     out: list[Column] = []

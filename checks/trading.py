@@ -11,7 +11,7 @@ from barlight.operators import signals as sg
 from barlight.schema import REGIME_NAMES
 from barlight.session import staged
 from checks.features import RSI, avg, gated, zsc
-from checks.registry import check, rnd, rnds, rounded, view
+from checks.registry import check, rnd, rnds, rounded, shared, view
 from checks.views import indexed
 
 COLS = fx.COLUMNS[fx.MINUTE]
@@ -33,8 +33,13 @@ def complete(spark, sf):
     return rg.complete_rows(fx.minute_features(indexed(spark, sf)), COLS)
 
 
+@shared
+def complete_saved(spark, sf):
+    return complete(spark, sf)
+
+
 def scaled(spark, sf):
-    rows = staged(complete(spark, sf))
+    rows = complete_saved(spark, sf)
     return rg.standardised(rows, COLS, rg.scaling(rows, COLS))
 
 
@@ -44,9 +49,10 @@ def clustered(spark, sf):
     return rg.assigned(rows, given)
 
 
+@shared
 def labelled(spark, sf):
     rows = clustered(spark, sf)
-    return staged(rg.with_regimes(rows, rg.quadrants(rg.axis_stats(rows))))
+    return rg.with_regimes(rows, rg.quadrants(rg.axis_stats(rows)))
 
 
 _NAMES = "['" + "', '".join(REGIME_NAMES) + "']"
@@ -205,10 +211,17 @@ def rules(spark, sf):
     return sg.strategy_signals(base, labelled(spark, sf), strategies=sg.RULES)
 
 
+@shared
 def rule_returns(spark, sf):
-    return staged(bt.strategy_returns(None, rules(spark, sf)))
+    return bt.strategy_returns(None, rules(spark, sf))
+
+
+@shared
+def rule_trades(spark, sf):
+    return bt.trades(rule_returns(spark, sf))
 
 
+@shared
 def regime_bars(spark, sf):
     return sg.aligned_regimes(indexed(spark, sf), labelled(spark, sf))
 
@@ -461,7 +474,7 @@ def _(spark, sf):
 
 @check("a14_trade_summary", f"SELECT symbol, strategy, num_trades, {q(['win_rate', 'profit_factor', 'expected_r'])} FROM btsum15")
 def _(spark, sf):
-    return rounded(bt.trade_summary(staged(bt.trades(rule_returns(spark, sf)))), 6)
+    return rounded(bt.trade_summary(rule_trades(spark, sf)), 6)
 
 
 @check(
@@ -470,7 +483,7 @@ def _(spark, sf):
     JOIN (SELECT symbol, strategy, coalesce(avg(-pnl) FILTER (pnl < 0), 0) AS u FROM btrades15 GROUP BY 1, 2) s USING (symbol, strategy)""",
 )
 def _(spark, sf):
-    rows = bt.with_r_multiple(staged(bt.trades(rule_returns(spark, sf))))
+    rows = bt.with_r_multiple(rule_trades(spark, sf))
     return rounded(rows.select("symbol", "strategy", "entry_date", "r_multiple_proxy"), 6)
 
 
