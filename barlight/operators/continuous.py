@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barlight.operators import clean
 from barlight.schema import BARS, OHLCV, PRICES
 
-_DAYS = Window.partitionBy("root").orderBy("trade_day")
+
+def _days() -> WindowSpec:
+    return Window.partitionBy("root").orderBy("trade_day")
 
 
 def with_trade_day(rows: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def dominant(volumes: DataFrame) -> DataFrame:
 
 def switches(front: DataFrame) -> DataFrame:
     """Days on which the dominant contract differs from the day before on record."""
-    old = F.lag("front_symbol").over(_DAYS)
+    old = F.lag("front_symbol").over(_days())
     changed = front.withColumn("old_symbol", old).where(F.col("old_symbol") != F.col("front_symbol"))
     return changed.select("root", "trade_day", "old_symbol", F.col("front_symbol").alias("new_symbol"))
 
@@ -79,7 +81,7 @@ def back_adjustments(front: DataFrame, gaps: DataFrame) -> DataFrame:
     """Per day: the sum of the gaps of later switch days."""
     days = front.join(gaps.select("root", "trade_day", "roll_gap"), ["root", "trade_day"], "left")
     days = days.withColumn("roll_gap", F.coalesce("roll_gap", F.lit(0.0)))
-    later = F.sum("roll_gap").over(_DAYS.rowsBetween(1, Window.unboundedFollowing))
+    later = F.sum("roll_gap").over(_days().rowsBetween(1, Window.unboundedFollowing))
     return days.select("root", "trade_day", "roll_gap", F.coalesce(later, F.lit(0.0)).alias("back_adjustment"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from barlight.operators.regimes import STATES, nearest, squared_distances
@@ -19,34 +19,27 @@ from barlight.session import staged
 
 
 def _mean_vector(dims: int) -> Column:
-    return F.array(*[F.avg(F.col("z")[j]) for j in range(dims)])
+    return F.expr("array(" + ", ".join(f"avg(z[{j}])" for j in range(dims)) + ")")
 
 
-def _by_cluster(found: Column, fallback) -> Column:
-    """Array of the four vectors; ``found`` holds struct(raw, mean) of the clusters that have rows."""
-    cells = []
-    for k in range(STATES):
-        mine = F.filter(found, _is(k))
-        cells.append(F.when(F.size(mine) > 0, F.get(mine, F.lit(0))["mean"]).otherwise(fallback(k)))
-    return F.array(*cells)
-
-
-def _is(k: int):
-    return lambda m: m["raw"] == k
+def _by_cluster(fallback: str) -> Column:
+    """Array of the four vectors; ``_found`` holds struct(raw, mean) of the clusters that have rows."""
+    return F.expr(
+        f"transform(sequence(0, {STATES - 1}), k -> coalesce(get(filter(_found, m -> m.raw = k), 0).mean, {fallback}))"
+    )
 
 
 def quadrant_start(points: DataFrame, keys: Sequence[str], dims: int, axes: tuple[int, int]) -> DataFrame:
     """Start 0: mean of the points in each sign quadrant of the two axes; an empty one starts at its corner."""
     v, s = axes
-    side = F.when(F.col("z")[v] > 0, 2).otherwise(0) + F.when(F.col("z")[s] > 0, 1).otherwise(0)
+    side = F.expr(f"CASE WHEN z[{v}] > 0 THEN 2 ELSE 0 END + CASE WHEN z[{s}] > 0 THEN 1 ELSE 0 END")
     means = points.groupBy(*keys, side.alias("raw")).agg(_mean_vector(dims).alias("mean"))
     found = means.groupBy(*keys).agg(F.collect_list(F.struct("raw", "mean")).alias("_found"))
-
-    def corner(k: int) -> Column:
-        signs = {v: 1.0 if k >= 2 else -1.0, s: 1.0 if k % 2 else -1.0}
-        return F.array(*[F.lit(signs.get(j, 0.0)) for j in range(dims)])
-
-    return found.select(*keys, F.lit(0).alias("start"), _by_cluster(F.col("_found"), corner).alias("centers"))
+    corner = (
+        f"transform(sequence(0, {dims - 1}), j -> CASE WHEN j = {v} THEN IF(k >= 2, 1D, -1D) "
+        f"WHEN j = {s} THEN IF(k % 2 = 1, 1D, -1D) ELSE 0D END)"
+    )
+    return found.select(*keys, F.lit(0).alias("start"), _by_cluster(corner).alias("centers"))
 
 
 def hashed_starts(points: DataFrame, keys: Sequence[str], starts: int, seed: int) -> DataFrame:
@@ -62,21 +55,18 @@ def hashed_starts(points: DataFrame, keys: Sequence[str], starts: int, seed: int
 def step(points: DataFrame, centers: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     """One assignment and update of all keys and starts; a cluster without points keeps its center."""
     rows = points.select(*keys, "z").join(centers.select(*keys, "start", "centers"), list(keys))
-    rows = rows.withColumn("_d", squared_distances(F.col("z"), F.col("centers")))
-    sums = rows.groupBy(*keys, "start", nearest(F.col("_d")).alias("raw")).agg(
+    rows = rows.withColumn("_d", squared_distances())
+    sums = rows.groupBy(*keys, "start", nearest("_d").alias("raw")).agg(
         _mean_vector(dims).alias("mean"), F.sum(F.array_min("_d")).alias("_cost")
     )
     found = sums.groupBy(*keys, "start").agg(
         F.collect_list(F.struct("raw", "mean")).alias("_found"), F.sum("_cost").alias("cost")
     )
-    old = centers.select(*keys, "start", F.col("centers").alias("_old"))
-    rows = found.join(old, [*keys, "start"])
-    rows = rows.withColumn("centers", _by_cluster(F.col("_found"), lambda k: F.col("_old")[k]))
-    moved = F.zip_with(
-        "centers", "_old",
-        lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x),
+    rows = found.join(centers.select(*keys, "start", F.col("centers").alias("_old")), [*keys, "start"])
+    rows = rows.withColumn("centers", _by_cluster("_old[k]"))
+    shift = F.expr(
+        "aggregate(flatten(zip_with(centers, _old, (a, b) -> zip_with(a, b, (x, y) -> (x - y) * (x - y)))), 0D, (t, x) -> t + x)"
     )
-    shift = F.aggregate(moved, F.lit(0.0), lambda t, x: t + x)
     return rows.select(*keys, "start", "centers", "cost", shift.alias("shift"))
 
 
@@ -87,7 +77,7 @@ def fit(
     axes: tuple[int, int],
     starts: int = 5,
     seed: int = 181,
-    max_iter: int = 50,
+    max_iter: int = 100,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """Best of several starts per key: ``centers`` and their ``inertia``.
@@ -100,8 +90,9 @@ def fit(
         centers = centers.unionByName(hashed_starts(points, keys, starts, seed))
     centers = staged(centers)
     for _ in range(max_iter):
-        centers = staged(step(points, centers, keys, dims))
-        moved = centers.agg(F.max("shift")).first()[0]
+        seen = Observation()
+        centers = staged(step(points, centers, keys, dims).observe(seen, F.max("shift").alias("shift")))
+        moved = seen.get["shift"]
         if moved is None or moved <= tolerance:
             break
     best = F.min_by(F.struct("centers", "cost"), F.struct("cost", "start")).alias("_b")

@@ -85,24 +85,23 @@ def standardised(rows: DataFrame, columns: Sequence[str], scale: DataFrame, keys
 # --- assignment and labels ---------------------------------------------------
 
 
-def squared_distances(z: Column, centers: Column) -> Column:
-    """Squared distance of the point to each center."""
-    def gap(center: Column) -> Column:
-        return F.aggregate(F.zip_with(z, center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-
-    return F.transform(centers, gap)
+def squared_distances() -> Column:
+    """Squared distance of the point ``z`` to each of the ``centers``."""
+    return F.expr(
+        "transform(centers, c -> aggregate(zip_with(z, c, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))"
+    )
 
 
-def nearest(distances: Column) -> Column:
+def nearest(distances: str) -> Column:
     """Number of the nearest center, the lowest on ties."""
-    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+    return F.expr(f"CAST(array_position({distances}, array_min({distances})) - 1 AS INT)")
 
 
 def assigned(rows: DataFrame, centers: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Add ``raw``, the nearest of the key's given centers."""
     out = rows.join(centers.select(*keys, "centers"), list(keys))
-    out = out.withColumn("_d", squared_distances(F.col("z"), F.col("centers")))
-    return out.withColumn("raw", nearest(F.col("_d"))).drop("centers", "_d")
+    out = out.withColumn("_d", squared_distances())
+    return out.withColumn("raw", nearest("_d")).drop("centers", "_d")
 
 
 def axis_stats(rows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

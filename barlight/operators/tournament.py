@@ -62,19 +62,23 @@ def points(rows: dict[str, DataFrame]) -> DataFrame:
     return staged(out)
 
 
-def fit_and_label(
-    train: DataFrame, test: DataFrame | None, keys: Sequence[str], family: str, starts: int, seed: int, hmm_steps: int
-) -> tuple[DataFrame, DataFrame]:
-    """Fit on train, label test (train when none is given); also the fitted table per key.
+def clusters(train: DataFrame, keys: Sequence[str], starts: int, seed: int) -> DataFrame:
+    """K-Means centers per key; both model families start from them."""
+    return staged(kmeans.fit(train, list(keys), DIMS, AXES, starts, seed))
+
+
+def fitted_labels(
+    train: DataFrame, test: DataFrame | None, centers: DataFrame, keys: Sequence[str], family: str, hmm_steps: int
+) -> DataFrame:
+    """Fit on train, label test (train when none is given).
 
     Keys whose train rows do not fall in four clusters are left out.
     """
     keys = list(keys)
     target = train if test is None else test
-    centers = staged(kmeans.fit(train, keys, DIMS, AXES, starts, seed))
     if family == KMEANS:
         mapping = rg.quadrants(rg.axis_stats(rg.assigned(train, centers, keys), keys), keys)
-        return staged(rg.with_regimes(rg.assigned(target, centers, keys), mapping, keys)), centers
+        return staged(rg.with_regimes(rg.assigned(target, centers, keys), mapping, keys))
     model = staged(hmm.fit(train, centers, keys, DIMS, hmm_steps))
     fitted = staged(hmm.decode(train, model, keys, DIMS))
     mapping = staged(rg.quadrants(rg.axis_stats(fitted, keys), keys))
@@ -84,7 +88,7 @@ def fit_and_label(
     )
     rows = rg.with_regimes(decoded, mapping, keys).join(regimes_by_state, keys)
     folded = rg.folded_posteriors(F.col("posterior"), F.col("_regimes"))
-    return staged(rows.withColumn("posterior", folded).drop("_regimes")), model
+    return staged(rows.withColumn("posterior", folded).drop("_regimes"))
 
 
 def _chosen(frame: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,7 +117,9 @@ def detect(
 ) -> Detection:
     """Production detector: K-Means on four feature families, the best score labels the symbol."""
     rows = prepared(bars, candidates, short, long)
-    labelled, centers = fit_and_label(points(rows), None, MODEL, KMEANS, starts, seed, 0)
+    table = points(rows)
+    centers = clusters(table, MODEL, starts, seed)
+    labelled = fitted_labels(table, None, centers, MODEL, KMEANS, 0)
     scores = rg.candidate_scores(labelled, MODEL, stability_window).join(centers.select(*MODEL, "inertia"), MODEL)
     ranked = staged(rg.best_model(scores, "score"))
     best = staged(_chosen(labelled, ranked.where("is_best"), MODEL))
@@ -157,9 +163,10 @@ def detect_dev(
     """Development detector: feature families x model families, by the development score."""
     rows = prepared(bars, candidates, short, long)
     table = points(rows)
+    centers = clusters(table, MODEL, starts, seed)
     labelled = None
     for family in model_families or families(include_hmm):
-        part, _ = fit_and_label(table, None, MODEL, family, starts, seed, hmm_steps)
+        part = fitted_labels(table, None, centers, MODEL, family, hmm_steps)
         part = part.select(*MODEL, "idx", "date", "pos", *rg.AXES, "z", "regime_id", "regime_name").withColumn("model_family", F.lit(family))
         labelled = part if labelled is None else labelled.unionByName(part)
     labelled = staged(labelled)
@@ -197,8 +204,8 @@ def detect_walk_forward(
 ) -> Detection:
     """Fit on train and label test in every block; the best mean block score labels the symbol.
 
-    Which columns and rows are usable is decided on the whole history, as the reference
-    method does. Blocks, families and symbols are keys of the same jobs.
+    Which columns and rows are usable is decided on the whole history, a mild look-ahead
+    that is kept on purpose. Blocks, families and symbols are keys of the same jobs.
     """
     rows = prepared(bars, candidates, short, long)
     counts = staged(wf.bar_counts(bars))
@@ -213,9 +220,10 @@ def detect_walk_forward(
         tests = test if tests is None else tests.unionByName(test)
         sizes = valid if sizes is None else sizes.unionByName(valid)
     trains, tests = staged(trains), staged(tests)
+    centers = clusters(trains, keys, starts, seed)
     labelled = None
     for family in model_families or families(include_hmm):
-        part, _ = fit_and_label(trains, tests, keys, family, starts, seed, hmm_steps)
+        part = fitted_labels(trains, tests, centers, keys, family, hmm_steps)
         part = part.withColumn("model_family", F.lit(family))
         if "posterior" not in part.columns:
             one_hot = F.array(*[F.when(F.col("regime_id") == k, 1.0).otherwise(0.0) for k in range(rg.STATES)])
@@ -262,7 +270,8 @@ def train_labels(
             train, _, _ = wf.scaled_sides(frame.join(wanted, MODEL, "left_semi"), columns, counts, plan, keys)
             part = train.select(*keys, "idx", "date", "pos", *rg.AXES, _padded(columns).alias("z"))
             table = part if table is None else table.unionByName(part)
-        part, _ = fit_and_label(staged(table), None, keys, family, starts, seed, hmm_steps)
+        table = staged(table)
+        part = fitted_labels(table, None, clusters(table, keys, starts, seed), keys, family, hmm_steps)
         part = part.select("symbol", "block", "idx", "date", "regime_id", "regime_name")
         out = part if out is None else out.unionByName(part)
     return out

@@ -32,9 +32,19 @@ class RunStore:
         """Replace this run's and model's part of the table; running it again gives the same files."""
         if table not in TABLES:
             raise ValueError(f"unknown table {table!r}")
-        rows, parts = df.withColumn("run_id", F.lit(run_id)), ["run_id"]
-        if table not in CATALOGUE:
-            rows, parts = rows.withColumn("model_id", F.lit(model_id or "-")), ["run_id", "model_id"]
+        rows = df.withColumn("run_id", F.lit(run_id))
+        if table in CATALOGUE:
+            self._save(table, rows, ["run_id"])
+        else:
+            self._save(table, rows.withColumn("model_id", F.lit(model_id or "-")), ["run_id", "model_id"])
+
+    def write_by_model(self, table: str, df: DataFrame, run_id: str) -> None:
+        """The same for rows that carry their own ``model_id``."""
+        if table not in TABLES or table in CATALOGUE:
+            raise ValueError(f"no model table {table!r}")
+        self._save(table, df.withColumn("run_id", F.lit(run_id)), ["run_id", "model_id"])
+
+    def _save(self, table: str, rows: DataFrame, parts: list[str]) -> None:
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -11,4 +11,4 @@ def all_checks():
     return CHECKS
 
 
-PARTS = ["loading", "features", "trading", "evaluation", "reporting"]
+PARTS = ["loading", "features", "trading", "evaluation", "reporting", "models"]

@@ -57,16 +57,17 @@ def with_views(body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed) + "\n" + body
 
 
-_SHARED: dict[tuple, DataFrame] = {}
+_SHARED: dict[tuple, object] = {}
 
 
 def shared(fn):
     """Write an intermediate once per session and data folder, as a saved run would hold it."""
 
-    def load(spark: SparkSession, sf_dir: str, *rest) -> DataFrame:
+    def load(spark: SparkSession, sf_dir: str, *rest):
         key = (spark.sparkContext.applicationId, sf_dir, fn.__module__, fn.__name__, *rest)
         if key not in _SHARED:
-            _SHARED[key] = staged(fn(spark, sf_dir, *rest))
+            made = fn(spark, sf_dir, *rest)
+            _SHARED[key] = staged(made) if isinstance(made, DataFrame) else made
         return _SHARED[key]
 
     return load

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.functions.scalar import bucket_end
@@ -10,19 +10,22 @@ from barlight.operators.ordered import with_ordinal
 from checks.registry import view
 
 MINUTE = 60_000_000
-PRICE = 100 + F.col("value") / 20
+
+
+def price() -> Column:
+    return 100 + F.col("value") / 20
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _bars(rows: DataFrame, price, *keys: str) -> DataFrame:
+def _bars(rows: DataFrame, p: Column, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "date").agg(
-        F.min_by(price, "ts").alias("open"),
-        F.max(price).alias("high"),
-        F.min(price).alias("low"),
-        F.max_by(price, "ts").alias("close"),
+        F.min_by(p, "ts").alias("open"),
+        F.max(p).alias("high"),
+        F.min(p).alias("low"),
+        F.max_by(p, "ts").alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"),
     )
 
@@ -32,7 +35,7 @@ def bars(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFrame:
     rows = events(spark, sf_dir).select(
         F.col("event_type").alias("symbol"), bucket_end(F.col("ts"), minutes * MINUTE).alias("date"), "ts", "value"
     )
-    return _bars(rows, PRICE, "symbol")
+    return _bars(rows, price(), "symbol")
 
 
 def indexed(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFrame:
@@ -48,7 +51,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lift = F.when(kind == "error", 8).when(kind == "purchase", 16).when(kind == "signup", 24).otherwise(0)
     rows = events(spark, sf_dir).select(
-        name.alias("symbol"), bucket_end(F.col("ts"), 60 * MINUTE).alias("date"), "ts", (PRICE + lift).alias("price")
+        name.alias("symbol"), bucket_end(F.col("ts"), 60 * MINUTE).alias("date"), "ts", (price() + lift).alias("price")
     )
     return _bars(rows, F.col("price"), "symbol")
 
@@ -61,13 +64,13 @@ def raw_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", "NQZ4").otherwise("NQH4-NQM4")
     )
     minute = F.date_trunc("MINUTE", F.col("ts"))
-    price = F.round(PRICE, 6)
+    base = F.round(price(), 6)
     return events(spark, sf_dir).select(
         F.when(F.col("value") > 200, "not a time").otherwise(F.date_format(minute, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts_event"),
-        price.cast("string").alias("open"),
-        (price + 1).cast("string").alias("high"),
-        (price - 1).cast("string").alias("low"),
-        (price + (F.second("ts") - 30) / 25).cast("string").alias("close"),
+        base.cast("string").alias("open"),
+        (base + 1).cast("string").alias("high"),
+        (base - 1).cast("string").alias("low"),
+        (base + (F.second("ts") - 30) / 25).cast("string").alias("close"),
         F.when(F.col("value") < 2, "n/a").otherwise(F.col("user_id").cast("string")).alias("volume"),
         name.alias("symbol"),
     )
