@@ -145,13 +145,13 @@ def trades(returns: DataFrame, capital: float = CAPITAL, keys: Sequence[str] = K
         *keys,
         "_blk",
         F.last("_last_at", ignorenulls=True).over(b.earlier_blocks).alias("_open"),
-        F.first("_first_at", ignorenulls=True).over(b.later_blocks).alias("_next"),
+        F.last("_first_at", ignorenulls=True).over(b.later_blocks).alias("_next"),
         F.max("_end").over(Window.partitionBy(*keys)).alias("_final"),
     )
     rows = rows.withColumns(
         {
             "_run": F.last("_at", ignorenulls=True).over(b.prefix),
-            "_after": F.first("_at", ignorenulls=True).over(b.suffix),
+            "_after": F.last("_at", ignorenulls=True).over(b.suffix),
         }
     ).join(blocks, [*keys, "_blk"])
     rows = rows.withColumns(

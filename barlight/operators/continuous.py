@@ -81,7 +81,8 @@ def back_adjustments(front: DataFrame, gaps: DataFrame) -> DataFrame:
     """Per day: the sum of the gaps of later switch days."""
     days = front.join(gaps.select("root", "trade_day", "roll_gap"), ["root", "trade_day"], "left")
     days = days.withColumn("roll_gap", F.coalesce("roll_gap", F.lit(0.0)))
-    later = F.sum("roll_gap").over(_days().rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("root").orderBy(F.col("trade_day").desc())
+    later = F.sum("roll_gap").over(back.rowsBetween(Window.unboundedPreceding, -1))
     return days.select("root", "trade_day", "roll_gap", F.coalesce(later, F.lit(0.0)).alias("back_adjustment"))
 
 

@@ -67,8 +67,13 @@ class Blocks:
 
     @property
     def suffix(self) -> WindowSpec:
-        """Rows after the current one, to the end of the block."""
-        return self.order.rowsBetween(1, Window.unboundedFollowing)
+        """Rows after the current one, to the end of the block, nearest last.
+
+        Written as a growing frame over the reversed order: a frame that shrinks towards
+        the end would be summed anew for every row.
+        """
+        back = Window.partitionBy(*self.keys, "_blk").orderBy(F.col(self.idx).desc())
+        return back.rowsBetween(Window.unboundedPreceding, -1)
 
     @property
     def earlier_blocks(self) -> WindowSpec:
@@ -76,7 +81,9 @@ class Blocks:
 
     @property
     def later_blocks(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+        """Blocks after the current one, nearest last."""
+        back = Window.partitionBy(*self.keys).orderBy(F.col("_blk").desc())
+        return back.rowsBetween(Window.unboundedPreceding, -1)
 
     def carry(self, df: DataFrame, totals: dict[str, Column], carries: dict[str, Column]) -> DataFrame:
         """Join to each row values taken from the other blocks of its key.

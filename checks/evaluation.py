@@ -41,7 +41,8 @@ for _i, (_name, _src) in enumerate(CANDIDATES.items()):
     view(
         f"wfrows{_i}",
         f"SELECT symbol, '{_name}' AS candidate, idx, date, vol_axis, structure_axis, "
-        + ", ".join(f"{c} AS c{j}" for j, c in enumerate(_cols)) + f" FROM {_src} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _cols),
+        + ", ".join(f"{c} AS c{j}" for j, c in enumerate(_cols)) + f" FROM {_src} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _cols)
+        + f" QUALIFY count(*) OVER (PARTITION BY symbol) >= {rg.LEAST_ROWS}",
     )
 view("wfrows", "SELECT * FROM wfrows0 UNION ALL SELECT * FROM wfrows1")
 _D = range(8)

@@ -71,7 +71,8 @@ view(
 view(
     "complete15",
     "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos FROM e1 WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in COLS),
+    + " AND ".join(f"{c} IS NOT NULL" for c in COLS)
+    + f" QUALIFY count(*) OVER (PARTITION BY symbol) >= {rg.LEAST_ROWS}",
 )
 view(
     "z15",
