@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from barlight.operators.features import CLASSIFIER_COLUMNS, classifier_features
 from barlight.operators.ordered import evenly_spaced, with_ordinal
 from barlight.schema import TINY
-from barlight.session import shared_folder, staged
+from barlight.session import shared_folder, sized, staged
 
 LEARNED = ["ml_rf", "ml_logreg", "ml_gbrt"]
 SEED = 181
@@ -32,7 +32,7 @@ def split_rows(bars: DataFrame, train_fraction: float = 0.60, max_train_rows: in
     The last train row's target looks one bar into the test part, and the very last bar's
     target is 0.
     """
-    sizes = bars.groupBy("symbol").agg(F.floor((F.max("idx") + 1) * train_fraction).alias("_split"))
+    sizes = sized(bars.groupBy("symbol").agg(F.floor((F.max("idx") + 1) * train_fraction).alias("_split")))
     rows = classifier_features(bars).dropna(subset=CLASSIFIER_COLUMNS).join(sizes, "symbol")
     rows = rows.withColumn("part", F.when(F.col("idx") < F.col("_split"), "train").otherwise("test")).drop("_split")
     rows = with_ordinal(rows, ("symbol", "part"), ("date",), out="_ord", total="_n")
@@ -55,10 +55,10 @@ def fittable(rows: DataFrame) -> DataFrame:
 def with_points(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """Add the raw and the scaled feature vector and the balancing class weight."""
     train = rows.where(F.col("part") == "train")
-    scale = train.groupBy("symbol").agg(
+    scale = sized(train.groupBy("symbol").agg(
         F.array(*[F.avg(c) for c in CLASSIFIER_COLUMNS]).alias("_m"),
         F.array(*[F.stddev_pop(c) for c in CLASSIFIER_COLUMNS]).alias("_s"),
-    )
+    ))
     out = rows.join(symbols, "symbol").join(scale, "symbol")
     scaled = []
     for i, c in enumerate(CLASSIFIER_COLUMNS):
@@ -131,7 +131,7 @@ def signal_from(up: Column) -> Column:
 def learned_signals(bars: DataFrame, models: Sequence[str] = tuple(LEARNED), parallel: int = 4, **split) -> DataFrame:
     """One column per classifier; bars that were not tested, and symbols that cannot be fitted, are 0."""
     rows = staged(split_rows(bars, **split))
-    symbols = staged(fittable(rows))
+    symbols = sized(fittable(rows))
     points = staged(with_points(rows, symbols), "symbol")
     scored = probabilities(points, symbols, models, parallel)
     wide = scored.groupBy("symbol", "idx").pivot("model", list(models)).agg(F.first(signal_from(F.col("up"))))

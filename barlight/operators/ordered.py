@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barlight.session import sized
+
 BLOCK_ROWS_CONF = "spark.barlight.blockRows"
 DEFAULT_BLOCK_ROWS = 4096
 
@@ -184,13 +186,13 @@ def thin(df: DataFrame, points: int, keys: Sequence[str] = ("symbol",), idx: str
     ``idx`` must run from 0 without holes, so the row count of a key is its largest
     ``idx`` plus one.
     """
-    totals = df.groupBy(*keys).agg((F.max(idx) + 1).alias("_total"))
+    totals = sized(df.groupBy(*keys).agg((F.max(idx) + 1).alias("_total")))
     return df.join(totals, list(keys)).where(evenly_spaced(F.col(idx), F.col("_total"), points)).drop("_total")
 
 
 def stride(df: DataFrame, max_points: int, keys: Sequence[str] = ("symbol",), idx: str = "idx") -> DataFrame:
     """Keep every k-th row, k = rows div max_points; all rows when there are no more than that."""
-    totals = df.groupBy(*keys).agg((F.max(idx) + 1).alias("_total"))
+    totals = sized(df.groupBy(*keys).agg((F.max(idx) + 1).alias("_total")))
     step = F.greatest(F.lit(1), F.floor(F.col("_total") / max_points))
     keep = (F.col("_total") <= max_points) | (F.col(idx) % step == 0)
     return df.join(totals, list(keys)).where(keep).drop("_total")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.session import sized
+
 ACCURACY = 2_000  # the sketch is off by at most 1 / ACCURACY of the rows
 MARGIN = 3.0 / ACCURACY
 SMALL = 10_000  # groups up to this size are sorted whole
@@ -25,6 +27,7 @@ def tail_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float) -> D
     bracket = df.groupBy(*keys).agg(
         F.percentile_approx(x, probes, ACCURACY).alias("_b"), F.count(x).alias("_n")
     )
+    bracket = sized(bracket)
     rows = df.where(x.isNotNull()).select(*keys, x.alias("_x")).join(bracket, keys)
     large = F.col("_n") > SMALL
     below = F.lit(False) if p - MARGIN <= 0 else large & (F.col("_x") < F.col("_b")[0])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barlight.functions.scalar import finite
 from barlight.operators.ordered import Blocks, row_chunk, thin, with_ordinal
 from barlight.schema import REGIME_NAMES, TINY
-from barlight.session import staged
+from barlight.session import sized, staged
 
 AXES = ["vol_axis", "structure_axis"]
 STATES = 4
@@ -55,7 +55,7 @@ def complete_rows(features: DataFrame, columns: Sequence[str], keys: Sequence[st
     feature table is written once, as the gate and the rows both read it.
     """
     features = staged(features.withColumns({c: finite(F.col(c)) for c in columns}))
-    rows = features.join(usable_columns(features, columns, keys), list(keys)).where(F.size("used") >= 3)
+    rows = features.join(sized(usable_columns(features, columns, keys)), list(keys)).where(F.size("used") >= 3)
     known = [F.col(c).isNotNull() | ~F.array_contains("used", c) for c in columns]
     for condition in known:
         rows = rows.where(condition)

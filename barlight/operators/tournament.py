@@ -13,7 +13,7 @@ from barlight.operators import hmm, kmeans
 from barlight.operators import regimes as rg
 from barlight.operators import walkforward as wf
 from barlight.operators.ordered import with_ordinal
-from barlight.session import staged
+from barlight.session import sized, staged
 
 KMEANS, HMM = "kmeans_quadrant", "gaussian_hmm_quadrant"
 MODEL = ["symbol", "candidate"]
@@ -56,7 +56,7 @@ def points(rows: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, frame in rows.items():
         columns = _AXES_FIRST[name]
-        scaled = rg.standardised(frame, columns, rg.scaling(frame, columns, MODEL), MODEL)
+        scaled = rg.standardised(frame, columns, sized(rg.scaling(frame, columns, MODEL)), MODEL)
         part = scaled.select(*MODEL, "idx", "date", "pos", *rg.AXES, _padded(columns).alias("z"))
         out = part if out is None else out.unionByName(part)
     return staged(out)
@@ -77,7 +77,7 @@ def fitted_labels(
     keys = list(keys)
     target = train if test is None else test
     if family == KMEANS:
-        mapping = rg.quadrants(rg.axis_stats(rg.assigned(train, centers, keys), keys), keys)
+        mapping = sized(rg.quadrants(rg.axis_stats(rg.assigned(train, centers, keys), keys), keys))
         return staged(rg.with_regimes(rg.assigned(target, centers, keys), mapping, keys))
     model = staged(hmm.fit(train, centers, keys, DIMS, hmm_steps))
     fitted = staged(hmm.decode(train, model, keys, DIMS))

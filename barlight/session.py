@@ -52,3 +52,13 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A small table (one row per key) written first, so that the planner knows its true size.
+
+    A join then broadcasts it only when it fits the broadcast limit; beyond that both
+    sides are shuffled and adaptive execution splits a hot key. Without this the planner
+    would guess from the size of the large table and shuffle that one every time.
+    """
+    return staged(df.coalesce(1))

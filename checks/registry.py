@@ -18,6 +18,10 @@ class Check:
     sql: str | None
 
 
+# Marks rounding by size: 9 decimals below 1, 5 above. Costs are quarter basis points, whose
+# halves and quarters sit exactly between two values of 6 or 7 decimals.
+METRIC = 6
+
 CHECKS: dict[str, Check] = {}
 VIEWS: dict[str, str] = {}
 
@@ -84,7 +88,8 @@ def rounded(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:
     for name, kind in df.dtypes:
         if kind == "double":
             d = special.get(name, digits)
-            value = F.round(F.col(f"`{name}`"), d)
+            value = F.col(f"`{name}`")
+            value = F.when(F.abs(value) < 1, F.round(value, 9)).otherwise(F.round(value, 5)) if d == METRIC else F.round(value, d)
             value = F.when(F.col(f"`{name}`") == float("inf"), F.col(f"`{name}`")).otherwise(value)
             out.append((value + F.lit(0.0)).alias(name))
         else:
@@ -93,6 +98,8 @@ def rounded(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:
 
 
 def rnd(expr: str, digits: int = 8) -> str:
+    if digits == METRIC:
+        return f"(CASE WHEN abs({expr}) < 1 THEN round({expr}, 9) ELSE round({expr}, 5) END + 0.0)"
     return f"(round({expr}, {digits}) + 0.0)"
 
 

@@ -9,7 +9,7 @@ from barlight.operators import features as fx
 from barlight.operators import regimes as rg
 from barlight.operators import signals as sg
 from barlight.schema import REGIME_NAMES
-from barlight.session import staged
+from barlight.session import sized, staged
 from checks.features import RSI, avg, gated, zsc
 from checks.registry import check, rnd, rnds, rounded, shared, view
 from checks.views import indexed
@@ -40,19 +40,19 @@ def complete_saved(spark, sf):
 
 def scaled(spark, sf):
     rows = complete_saved(spark, sf)
-    return rg.standardised(rows, COLS, rg.scaling(rows, COLS))
+    return rg.standardised(rows, COLS, sized(rg.scaling(rows, COLS)))
 
 
 def clustered(spark, sf):
     rows = scaled(spark, sf)
-    given = rows.select("symbol").distinct().withColumn("centers", centers())
+    given = sized(rows.select("symbol").distinct()).withColumn("centers", centers())
     return rg.assigned(rows, given)
 
 
 @shared
 def labelled(spark, sf):
     rows = clustered(spark, sf)
-    return rg.with_regimes(rows, rg.quadrants(rg.axis_stats(rows)))
+    return rg.with_regimes(rows, sized(rg.quadrants(rg.axis_stats(rows))))
 
 
 _NAMES = "['" + "', '".join(REGIME_NAMES) + "']"
