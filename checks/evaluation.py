@@ -220,6 +220,7 @@ def wf_inputs(spark, sf):
     return indexed(spark, sf), signals, wf_labels(spark, sf, (fx.MINUTE,))
 
 
+@shared
 def wf_result(spark, sf):
     base, signals, labels = wf_inputs(spark, sf)
     return wf.evaluate(base, signals, labels, PLAN)
@@ -280,8 +281,8 @@ def _(spark, sf):
     FROM wfsig JOIN wfallow USING (symbol, strategy, block) LEFT JOIN wfreg g USING (symbol, block, idx)""",
 )
 def _(spark, sf):
-    base, signals, labels = wf_inputs(spark, sf)
-    result = wf.evaluate(base, signals, labels, PLAN)
+    base, _, labels = wf_inputs(spark, sf)
+    result = wf_result(spark, sf)
     allowed = wf.allowed_regimes(result.block_regime_metrics)
     regimes = wf.block_regimes(base, labels, wf.bar_counts(base), PLAN)
     out = wf.filtered_signals(result.signals, regimes, allowed)
@@ -402,6 +403,7 @@ def stress_paths(spark, sf, models=tuple(st.STRESS_MODELS)):
     return st.simulated_returns(pools, st.regime_filters(regimes, REQUEST), SIMS, HORIZON, BLOCK, SEED, models, uniform)
 
 
+@shared
 def stress(spark, sf):
     returns = tr.rule_returns(spark, sf).where(F.col("strategy").isin(ST))
     return st.run_stress(
