@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlight.functions.scalar import uniform
-from barlight.operators import backtest as bt
 from barlight.operators import features as fx
 from barlight.operators import regimes as rg
 from barlight.operators import report as rp
