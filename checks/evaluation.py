@@ -118,11 +118,14 @@ view(
 )
 
 
+@shared
 def wf_features(spark, sf):
     """Complete rows of both families, one table per family with its own columns."""
     base = indexed(spark, sf)
     made = {fx.MINUTE: fx.minute_features(base), fx.SCRIPTED: fx.scripted_features(base)}
-    return {name: rg.complete_rows(made[name], cols).withColumn("candidate", F.lit(name)) for name, cols in MODELS.items()}
+    return {
+        name: staged(rg.complete_rows(made[name], cols).withColumn("candidate", F.lit(name))) for name, cols in MODELS.items()
+    }
 
 
 @shared
