@@ -7,7 +7,7 @@ stream is known by adding two numbers, so it is cut at the window boundaries on
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,8 @@ from barlight.session import staged
 END_ID = 1
 TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("begin", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-UNSAFE = re.compile(r"\s \s|  | $|^ ")
-CACHE_WORDS = 300_000
+# Fixed value: how this kind of tokenizer cuts a text into pieces.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE = 256  # documents tokenized together
 
 
@@ -33,33 +33,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class ByteLevelIds:
-    """Little-endian 32-bit ids of texts under a byte-level tokenizer of the GPT-2 kind.
+    """Little-endian 32-bit ids of texts under a byte-level tokenizer file of the GPT-2 kind, as the tokenizers library gives them.
 
-    Such a tokenizer first cuts a text into pieces, and a lone space between two words always begins a piece. So
-    ids of " word" are the same in every text, and words met before are looked up. The tokenizer itself encodes each new word,
-    and whole texts where a space touches other white space.
+    The vocabulary comes from that file; in this kind of file a merge's place is its id, so tiktoken's merging, which is some
+    four times as fast, gives the same ids. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.encoding = tiktoken.Encoding("bytes", pat_str=PIECE, mergeable_ranks=vocabulary_bytes(Tokenizer.from_file(path)), special_tokens={})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __call__(self, text: str) -> bytes:
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if UNSAFE.search(t) else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
-        whole = iter(self._encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        new = list(set().union(*(w for w in cut if w)) - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set().union(*(w for w in cut if w)))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        look = self.known.__getitem__
-        return [next(whole) if words is None else b"".join(map(look, words)) for words in cut]
+
+def vocabulary_bytes(tokenizer) -> dict[bytes, int]:
+    """Token bytes and ids. In the file each byte is written as a printable character: itself, or the next one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(plain)]
+    back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    return {bytes(back[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -71,7 +67,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                ids = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
+                ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 begins = begin + np.cumsum(sizes) - sizes
                 begin += int(sizes.sum())
