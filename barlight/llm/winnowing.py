@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from barlight.llm.common import GOLD, mixed, rolled, slices, sliding_min
 
 SLICE_CHARS = 400_000
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 
 @dataclass(frozen=True)
