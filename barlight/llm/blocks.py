@@ -29,13 +29,13 @@ MESSAGE_SQL = "block bigint, bucket int, data binary"
 BUCKET_BYTES = 16_000_000  # of text for each bucket of the index
 
 
-def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """The rows of docs (with a text column) in blocks of about block_bytes of text, staged; a longer text has a block of its own."""
+def packed(docs: DataFrame, block_bytes: int, column: str = "text") -> DataFrame:
+    """The rows of docs in blocks of about block_bytes of a string or binary column, staged; a longer value has a block of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            off, _ = text_bytes(batch.column(batch.schema.get_field_index("text")))
+            off, _ = text_bytes(batch.column(batch.schema.get_field_index(column)))
             for a, b in slices(np.diff(off) + 32, block_bytes):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

@@ -18,7 +18,8 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):  # no chunk at all
         column = pa.array([], pa.string())
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = column.cast(pa.large_binary())
+    column = pc.fill_null(column, b"") if column.null_count else column
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)

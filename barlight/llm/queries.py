@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import chat, packing, phrases, suffixes, topk, toxicity, winnowing
+from barlight.llm import chat, jaccard, packing, phrases, suffixes, topk, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.probe(table(spark, sf_dir, "conversations"))))
 
@@ -49,6 +53,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op4_suffix_buckets, op5_toxicity, op8_chat_formatting, op9_exact_top_k, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op4_suffix_buckets, op5_toxicity, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
