@@ -38,7 +38,7 @@ def packed(docs: DataFrame, block_bytes: int, column: str = "text") -> DataFrame
             off, _ = text_bytes(batch.column(batch.schema.get_field_index(column)))
             for a, b in slices(np.diff(off) + 32, block_bytes):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(a, b - a).columns], schema=batch.schema))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([off[b] - off[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=BLOCK)
                 number += 1

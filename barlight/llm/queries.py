@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import chat, jaccard, packing, phrases, suffixes, topk, toxicity, winnowing
+from barlight.llm import chat, html_extract, jaccard, mixing, packing, phrases, suffixes, topk, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.languages_by_quality(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labelled, mixing.production_targets(labelled))
+
+
 def op4_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.without_earlier_substrings(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -36,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
 
 
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op4_suffix_buckets, op5_toxicity, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op3_source_mixing, op4_suffix_buckets, op5_toxicity, op6_wrapper_induction, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r'[^\W_]+|["“”„«»‘’‹›]')
-OPENING, CLOSING = set("“„«‘‹"), set("”»’›")
+OPENING, CLOSING = set("“„«‘‹"), set("”“»’›")  # “ closes what „ opened
 MARKS = OPENING | CLOSING
 # Words that report what others said, in the four languages of the corpus.
 REPORTING = {"said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "sagte", "sagt", "schrieb", "nannte", "zitat", "dit", "écrit", "appelé", "citation", "dijo", "dice", "escribió", "llamó", "cita"}
