@@ -80,17 +80,49 @@ def rolled(values: np.ndarray, width: int, base: int = GOLD) -> np.ndarray:
         have *= 2
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """GOLD ** i and its inverse modulo 2**64 for i < n; the longest tables so far are kept."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((GOLD, pow(GOLD, -1, 1 << 64))):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            _POWERS[k] = np.cumprod(table)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Sums:
+    """Polynomial hashes of runs of any length from prefix sums; hash(i, w) equals rolled(values, w)[i]."""
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        self.power, inverse = powers(self.n + 1)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(values * inverse[: self.n], out=self.sums[1:])
+
+    def between(self, begin: int, end: int, width: int) -> np.ndarray:
+        """Hashes of the runs that start at begin .. end - 1."""
+        out = self.sums[begin + width : end + width] - self.sums[begin:end]
+        out *= self.power[begin + width - 1 : end + width - 1]
+        return out
+
+    def at(self, start: np.ndarray, width: int) -> np.ndarray:
+        return (self.sums[start + width] - self.sums[start]) * self.power[start + width - 1]
+
+
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum over keys[i : i + width]; entries whose window reaches over the end take what is there."""
     n, have, low = len(keys), 1, keys.copy()
     while have * 2 <= width:
         if have < n:
-            low[: n - have] = np.minimum(low[: n - have], low[have:])
+            np.minimum(low[: n - have], low[have:], out=low[: n - have])
         have *= 2
     rest = width - have
     if rest and rest < n:
         out = low.copy()
-        out[: n - rest] = np.minimum(low[: n - rest], low[rest:])
+        np.minimum(low[: n - rest], low[rest:], out=out[: n - rest])
         return out
     return low
 

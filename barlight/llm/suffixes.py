@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlight.llm import blocks as B
-from barlight.llm.common import GOLD, byte_table, mixed, rolled, sliding_min, text_bytes
+from barlight.llm.common import GOLD, Sums, byte_table, mixed, sliding_min, text_bytes
 from barlight.llm.phrases import runs
 
 BLOCK_BYTES = 2_000_000
 PLACE_BITS = 28
+PIECE = 1 << 17
 NO_ID = -(2**63)  # rows without doc_id come before all others
 
 
@@ -43,39 +44,44 @@ class Positions:
         n, self.width, q = len(self.raw), width, width // 2
         if n >> PLACE_BITS:
             raise ValueError("a block has too many bytes")
-        grams = rolled(byte_table(7)[self.raw], q)
+        self.sums = Sums(byte_table(7)[self.raw])
+        # Strings with the same anchor follow each other: a stretch is such a run of starts within one text. Anchors are looked
+        # for in pieces that fit the processor's cache.
         place = np.uint64((1 << PLACE_BITS) - 1)
-        keys = mixed(grams)
-        keys &= ~place
-        keys |= np.arange(n, dtype=np.uint64)
-        anchor = sliding_min(keys, width - q + 1)
-        anchor &= place
-        del keys
-        size = np.diff(self.off)
-        fits = np.maximum(size - width + 1, 0)
-        whole = np.zeros(n + 1, np.int8)
-        begins = self.off[:-1][fits > 0]
-        whole[begins] += 1
-        whole[(self.off[:-1] + fits)[fits > 0]] -= 1
-        self.starts = np.flatnonzero(np.cumsum(whole[:n], dtype=np.int8))
-        anchor = anchor[self.starts].astype(np.int64)
-        # Strings with the same anchor follow each other: a stretch is a run of starts.
-        new = np.append(True, anchor[1:] != anchor[:-1]) if len(anchor) else np.zeros(0, bool)
-        edge = np.flatnonzero(new)
-        self.first = self.starts[edge]
-        self.count = np.diff(np.append(edge, len(anchor)))
-        self.last = self.first + self.count - 1
-        place_of = anchor[edge]
+        total = max(0, n - width + 1)
+        new, anchor = np.empty(total, bool), np.empty(total, np.uint32)
+        for a in range(0, total, PIECE):
+            b = min(total, a + PIECE)
+            keys = self.sums.between(a, b + width - q, q)
+            keys ^= keys >> np.uint64(32)
+            keys *= np.uint64(0xD6E8FEB86659FD93)
+            keys &= ~place
+            keys |= np.arange(a, b + width - q, dtype=np.uint64)
+            anchor[a:b] = sliding_min(keys, width - q + 1)[: b - a] & place
+        if total:
+            new[0] = True
+            np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+        fits = np.maximum(np.diff(self.off) - width + 1, 0)
+        starts = self.off[:-1][fits > 0]
+        new[starts] = True
+        self.first = np.flatnonzero(new)
         self.doc = np.searchsorted(self.off, self.first, side="right") - 1
+        stop = np.minimum(np.append(self.first[1:], n), (self.off[:-1] + fits)[self.doc])
+        whole = stop > self.first  # else the strings would reach into the next text
+        self.first, self.doc = self.first[whole], self.doc[whole]
+        self.count = stop[whole] - self.first
+        self.last = self.first + self.count - 1
+        place_of = anchor[self.first].astype(np.int64)
         self.id = ids[self.doc]
-        self.anchor = mixed(grams[place_of] ^ np.uint64(0x5851F42D4C957F2D))
-        # The identifier of a string refines its first q-gram by that at offset q (and one byte more where width is odd).
-        tail = rolled(byte_table(7)[self.raw], width - q) if width % 2 else grams
-        later = np.zeros_like(grams)
-        later[: max(0, n - q)] = tail[q:]
-        self.string = mixed(grams * np.uint64(pow(GOLD, width - q, 1 << 64)) + later)
+        self.anchor = mixed(self.sums.at(place_of, q) ^ np.uint64(0x5851F42D4C957F2D))
         shape = self.count.astype(np.uint64) * np.uint64(1 << 20) + (place_of - self.first).astype(np.uint64)
-        self.stretch = mixed(self.string[self.first] * np.uint64(GOLD) + mixed(self.string[self.last] + shape * np.uint64(0xD6E8FEB86659FD93)))
+        self.stretch = mixed(self.string(self.first) * np.uint64(GOLD) + mixed(self.string(self.last) + shape * np.uint64(0xD6E8FEB86659FD93)))
+
+    def string(self, start: np.ndarray) -> np.ndarray:
+        """Identifiers of the strings at these starts: that of the first q-gram refined by that of what follows it."""
+        q = self.width // 2
+        rest = self.width - q
+        return mixed(self.sums.at(start, q) * self.sums.power[rest] + self.sums.at(start + q, rest))
 
 
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +172,7 @@ class Strings:
         inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         self.starts = np.repeat(p.first[rows], count) + inside
         self.ids = np.repeat(p.id[rows], count)
-        h = p.string[self.starts]
+        h = p.string(self.starts)
         order, group = grouped(h)
         begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
         self.hashes = h[order][begin]
