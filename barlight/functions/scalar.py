@@ -53,10 +53,16 @@ def clock_minutes(text: str) -> int:
     return int(hour) * 60 + int(minute)
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds of a wall-clock time since 1970, read off its fields: the session's time zone plays no part."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000_000 + seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 def bucket_end(ts: Column, micros: int) -> Column:
-    """Right edge of the right-closed bucket of ``micros`` microseconds (session zone UTC)."""
-    edge = F.unix_micros(ts.cast("timestamp")) + (micros - 1)
-    return F.timestamp_micros(edge - edge % micros).cast("timestamp_ntz")
+    """Right edge of the right-closed bucket of ``micros`` microseconds, counted from 1970 in wall-clock time."""
+    ahead = F.pmod(-wall_micros(ts), F.lit(micros)).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(18,0)")
+    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ahead.cast("decimal(18,6)"))
 
 
 def uniform(*parts: Column | str | int) -> Column:

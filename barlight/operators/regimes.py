@@ -8,20 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions.scalar import finite
-from barlight.operators.ordered import Blocks, row_chunk, thin, with_ordinal
+from barlight.operators.ordered import Blocks, row_chunk, with_ordinal
 from barlight.schema import REGIME_NAMES, TINY
 from barlight.session import sized, staged
 
 AXES = ["vol_axis", "structure_axis"]
 STATES = 4
 LEAST_ROWS = max(120, 30 * STATES)
-SILHOUETTE_ROWS = 10_000
 
 
 def regime_name(regime_id: Column) -> Column:
@@ -277,43 +274,25 @@ def interpretability(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.select(*keys, F.coalesce(score, F.lit(1.0)).alias("interpretability_score"), semantics.alias("semantics"))
 
 
-def silhouette(labelled: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "pos") -> DataFrame:
-    """Mean Euclidean silhouette on at most 10,000 evenly spaced rows per key.
+def silhouette(labelled: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Mean silhouette of all rows of a key under squared Euclidean distance; 0 with a single regime or fewer than four rows.
 
-    The sample bounds the group a task holds; pair distances are made and summed inside
-    the task, a slice of rows at a time, and never become rows of a table.
+    The mean squared distance of a point to a cluster follows from the cluster's count, sum and sum of squares, so
+    no pair of rows is ever made and no row is left out.
     """
     keys = list(keys)
-    sample = thin(labelled, SILHOUETTE_ROWS, keys, order).select(*keys, F.col(order).alias("_o"), "z", "regime_id")
-    kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.stack(pdf["z"].to_numpy())
-        labels = pdf["regime_id"].to_numpy()
-        found, code = np.unique(labels, return_inverse=True)
-        value = 0.0
-        if len(found) > 1 and len(pdf) >= 4:
-            member = np.eye(len(found))[code]
-            sizes = member.sum(axis=0)
-            total = 0.0
-            for start in range(0, len(points), 512):
-                part = slice(start, start + 512)
-                gaps = np.zeros((len(points[part]), len(points)))
-                for axis in points.T:
-                    gaps += np.subtract.outer(axis[part], axis) ** 2
-                sums = np.sqrt(gaps) @ member
-                own = member[part].astype(bool)
-                mine = sizes[code[part]]
-                a = sums[own] / np.maximum(mine - 1, 1)
-                b = np.where(own, np.inf, sums / sizes).min(axis=1)
-                s = np.where(mine > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                total += s.sum()
-            value = total / len(points)
-        first = pdf.iloc[0]
-        return pd.DataFrame({**{k: [first[k]] for k in keys}, "silhouette_score": [float(value)]})
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", silhouette_score double"
-    return sample.groupBy(*keys).applyInPandas(score, schema)
+    rows = labelled.select(*keys, "regime_id", "z", F.expr("aggregate(z, 0D, (s, x) -> s + x * x)").alias("_q"))
+    sums = rows.select(*keys, "regime_id", F.posexplode("z")).groupBy(*keys, "regime_id", "pos").agg(F.sum("col").alias("s"))
+    sums = sums.groupBy(*keys, "regime_id").agg(F.expr("transform(array_sort(collect_list(struct(pos, s))), x -> x.s)").alias("s"))
+    sizes = rows.groupBy(*keys, "regime_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"))
+    # One row for each key, with an entry for each of its regimes.
+    clusters = staged(sizes.join(sums, [*keys, "regime_id"]).groupBy(*keys).agg(F.collect_list(F.struct("regime_id", "n", "q", "s")).alias("_c")))
+    far = "greatest(c.n * _q + c.q - 2 * aggregate(zip_with(z, c.s, (a, b) -> a * b), 0D, (t, x) -> t + x), 0D)"
+    rows = rows.join(clusters, keys)
+    rows = rows.withColumn("_a", F.expr(f"aggregate(filter(_c, c -> c.regime_id = regime_id), CAST(NULL AS DOUBLE), (t, c) -> CASE WHEN c.n > 1 THEN {far} / (c.n - 1) END)"))
+    rows = rows.withColumn("_b", F.expr(f"array_min(transform(filter(_c, c -> c.regime_id <> regime_id), c -> {far} / c.n))"))
+    value = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))).otherwise(0.0)
+    return rows.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= 4, F.avg(value)).otherwise(0.0).alias("silhouette_score"))
 
 
 def candidate_scores(labelled: DataFrame, keys: Sequence[str], window: int = 2_000, order: str = "pos") -> DataFrame:
@@ -322,7 +301,7 @@ def candidate_scores(labelled: DataFrame, keys: Sequence[str], window: int = 2_0
         balance_persistence(labelled, keys, order)
         .join(interpretability(labelled, keys), list(keys))
         .join(stability_score(labelled, window, keys, order), list(keys))
-        .join(silhouette(labelled, keys, order), list(keys))
+        .join(silhouette(labelled, keys), list(keys))
     )
     return with_scores(parts)
 

@@ -105,7 +105,7 @@ def block_scores(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = (
         rg.balance_persistence(labelled, keys, "idx")
         .join(rg.interpretability(labelled, keys), list(keys))
-        .join(rg.silhouette(with_ordinal(labelled, keys, ("idx",), out="_o"), keys, "_o"), list(keys))
+        .join(rg.silhouette(labelled, keys), list(keys))
     )
     return rg.with_scores(parts)
 

@@ -11,11 +11,17 @@ from barlight.schema import RAW_MINUTES
 def read_minute_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV of raw records, needed columns only, all as text.
 
-    Files carry extra columns and their order varies, so columns are taken by name;
-    types are never inferred, numbers are converted (and counted as missing when they
+    Files may carry extra columns, in any order, but all in the same order: Spark takes the columns of all files by the place
+    they have in the first, so a file with another header fails instead of giving wrong columns. Read such files with one
+    call each and union by name. Types are never inferred; numbers are converted (and counted as missing when they
     cannot be) by ``barlight.operators.clean``.
     """
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).select(*RAW_MINUTES.names)
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    if absent := [c for c in RAW_MINUTES.names if c not in rows.columns]:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    # The whole header is compared, so all columns must be asked for while the files are parsed.
+    checked = spark.read.schema(rows.schema).option("header", True).option("enforceSchema", False).option("columnPruning", False).csv(path)
+    return checked.select(*RAW_MINUTES.names)
 
 
 def read_minute_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -93,19 +93,12 @@ view(
     avg(s) FILTER (regime_id IN (0, 3)) AS ranging, avg(s) FILTER (regime_id IN (1, 2)) AS trending, stddev_pop(s) AS ss FROM (
     SELECT {G}, regime_id, avg(vol_axis) AS v, avg(structure_axis) AS s FROM wflab GROUP BY {G}, regime_id) a GROUP BY {G}) b""",
 )
-view(
-    "wfsil",
-    f"""SELECT {G}, CASE WHEN count(DISTINCT pr) > 1 THEN avg(CASE WHEN n > 1 THEN (b - a) / nullif(greatest(a, b), 0) ELSE 0 END) ELSE 0 END AS sil FROM (
-    SELECT {G}, idx, pr, max(CASE WHEN pr = qr THEN n END) AS n, max(CASE WHEN pr = qr THEN total / nullif(n - 1, 0) END) AS a,
-    min(CASE WHEN pr <> qr THEN total / n END) AS b FROM (SELECT p.symbol, p.candidate, p.block, p.idx, p.regime_id AS pr, q.regime_id AS qr, count(*) AS n,
-    sum(sqrt({' + '.join(f'(p.z{j} - q.z{j}) ** 2' for j in _D)})) AS total FROM wflab p JOIN wflab q USING (symbol, candidate, block)
-    GROUP BY ALL) u GROUP BY {G}, idx, pr) v GROUP BY {G}""",
-)
+view("wfsil", tr.silhouette_sql("wflab", ["symbol", "candidate", "block"], _D))
 PARTS = list(wf.SCORE_PARTS)
 view(
     "wfscore",
     f"""SELECT *, oos_silhouette * 0.30 + oos_interpretability * 0.20 + oos_persistence * 0.10 + oos_churn_score * 0.15 + oos_coverage_score * 0.15
-    + oos_semantics_score * 0.10 AS oos_score FROM (SELECT {G}, sil AS oos_silhouette, interp AS oos_interpretability, kept AS oos_persistence,
+    + oos_semantics_score * 0.10 AS oos_score FROM (SELECT {G}, silhouette_score AS oos_silhouette, interp AS oos_interpretability, kept AS oos_persistence,
     churn AS oos_churn, greatest(0, 1 - churn * 5) AS oos_churn_score, min_share AS oos_min_share,
     greatest(0, least(1, min_share / 0.05::DOUBLE)) AS oos_coverage_score, semantics AS oos_semantics_score
     FROM wfpersist JOIN wfinterp USING (symbol, candidate, block) JOIN wfsil USING (symbol, candidate, block)) t""",

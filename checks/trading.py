@@ -332,15 +332,21 @@ view(
     avg(s) FILTER (regime_id IN (0, 3)) AS ranging, avg(s) FILTER (regime_id IN (1, 2)) AS trending, stddev_pop(s) AS ss FROM (
     SELECT symbol, regime_id, avg(vol_axis) AS v, avg(structure_axis) AS s FROM lab15 GROUP BY 1, 2) a GROUP BY 1) b""",
 )
-view(
-    "sil15",
-    f"""SELECT symbol, avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette_score FROM (
-    SELECT symbol, idx, max(CASE WHEN pr = qr THEN n END) AS n, max(CASE WHEN pr = qr THEN total / nullif(n - 1, 0) END) AS a,
-    min(CASE WHEN pr <> qr THEN total / n END) AS b FROM (
-    SELECT p.symbol, p.idx, p.regime_id AS pr, q.regime_id AS qr, count(*) AS n,
-    sum(sqrt({' + '.join(f'(p.z{j} - q.z{j}) ** 2' for j in range(len(COLS)))})) AS total
-    FROM lab15 p JOIN lab15 q ON p.symbol = q.symbol GROUP BY 1, 2, 3, 4) u GROUP BY 1, 2) v GROUP BY 1""",
-)
+
+
+def silhouette_sql(rows: str, keys: list[str], dims: range) -> str:
+    """Squared-Euclidean silhouette over all rows of a view, from each cluster's count, sums and sum of squares."""
+    k, on = ", ".join(keys), " AND ".join(f"p.{c} = c.{c}" for c in keys)
+    square = " + ".join(f"z{j} * z{j}" for j in dims)
+    far = f"greatest(c.n * ({square.replace('z', 'p.z')}) + c.q - 2 * ({' + '.join(f'p.z{j} * c.s{j}' for j in dims)}), 0)"
+    return f"""SELECT {k}, CASE WHEN count(*) >= 4 THEN avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) ELSE 0 END AS silhouette_score FROM (
+    SELECT {", ".join(f"p.{c}" for c in keys)}, p.idx, max(CASE WHEN p.regime_id = c.regime_id AND c.n > 1 THEN {far} / (c.n - 1) END) AS a,
+    min(CASE WHEN p.regime_id <> c.regime_id THEN {far} / c.n END) AS b FROM {rows} p JOIN (
+    SELECT {k}, regime_id, count(*) AS n, sum({square}) AS q, {", ".join(f"sum(z{j}) AS s{j}" for j in dims)} FROM {rows} GROUP BY {k}, regime_id) c ON {on}
+    GROUP BY {", ".join(f"p.{c}" for c in keys)}, p.idx) v GROUP BY {k}"""
+
+
+view("sil15", silhouette_sql("lab15", ["symbol"], range(len(COLS))))
 view(
     "scores15",
     """SELECT *, silhouette_score * 0.35 + cluster_balance_score * 0.20 + rolling_stability_score * 0.15 + transition_persistence * 0.10 + interpretability_score * 0.20 AS score,
