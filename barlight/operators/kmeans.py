@@ -75,7 +75,7 @@ def fit(
     keys: Sequence[str],
     dims: int,
     axes: tuple[int, int],
-    starts: int = 5,
+    starts: int = 20,
     seed: int = 181,
     max_iter: int = 100,
     tolerance: float = 1e-4,

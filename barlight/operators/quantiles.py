@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from barlight.session import sized
 
-ACCURACY = 2_000  # the sketch is off by at most 1 / ACCURACY of the rows
+ACCURACY = 500  # the sketch is off by at most 1 / ACCURACY of the rows
 MARGIN = 3.0 / ACCURACY
-SMALL = 10_000  # groups up to this size are sorted whole
+# In smaller groups the bracket would be narrower than two ranks and the sketch's error: they are sorted whole.
+SMALL = 1_000
 
 
 def tail_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float) -> DataFrame:

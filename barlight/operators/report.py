@@ -210,7 +210,7 @@ def melted_shares(stability: DataFrame) -> DataFrame:
 
 
 def path_bands(paths: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Equity percentiles and mean per step; a step holds one row per saved path."""
+    """Equity percentiles and mean per step; a step holds one row per simulation, a number set by the caller."""
     ps = [0.05, 0.25, 0.50, 0.75, 0.95]
     out = paths.where(F.col("equity").isNotNull()).groupBy(*by, "step").agg(
         F.percentile("equity", F.array(*[F.lit(p) for p in ps])).alias("_p"), F.avg("equity").alias("mean")

@@ -162,7 +162,12 @@ def wealth(paths: DataFrame) -> DataFrame:
 
 def saved_paths(paths: DataFrame, keep: int = 50, capital: float = CAPITAL) -> DataFrame:
     """Equity along the first ``keep`` simulations of every scenario."""
-    rows = wealth(paths.where(F.col("simulation") < keep))
+    return equity_paths(paths.where(F.col("simulation") < keep), capital)
+
+
+def equity_paths(paths: DataFrame, capital: float = CAPITAL) -> DataFrame:
+    """Equity along every path."""
+    rows = wealth(paths)
     return rows.select(*PATH, "step", "return", (capital * F.col("wealth")).alias("equity"))
 
 
@@ -217,7 +222,8 @@ def summary(ends: DataFrame, capital: float = CAPITAL, drawdown_threshold: float
 @dataclass
 class Stress:
     summary: DataFrame
-    paths: DataFrame
+    paths: DataFrame  # the first simulations, to look at
+    equity: DataFrame  # all simulations, for distributions; drawn anew where it is read
 
 
 def run_stress(
@@ -229,7 +235,7 @@ def run_stress(
     drawdown_threshold: float = 0.20,
     **options,
 ) -> Stress:
-    """All scenarios of all strategies. Paths are summed up where they are made; few are kept."""
+    """All scenarios of all strategies. All simulations are summed up; only the first few are kept as paths."""
     if labels is None:
         regimes = None
         filters = returns.select("symbol").distinct().withColumn("regime_filter", F.lit("all"))
@@ -239,4 +245,4 @@ def run_stress(
     pools = staged(return_pools(returns, regimes))
     paths = simulated_returns(pools, filters, **options)
     ends = staged(path_ends(paths))
-    return Stress(summary(ends, capital, drawdown_threshold), saved_paths(paths, keep_paths, capital))
+    return Stress(summary(ends, capital, drawdown_threshold), saved_paths(paths, keep_paths, capital), equity_paths(paths, capital))

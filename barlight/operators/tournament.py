@@ -111,7 +111,7 @@ def detect(
     short: int = fx.SHORT,
     long: int = fx.LONG,
     stability_window: int = 2_000,
-    starts: int = 5,
+    starts: int = 20,
     seed: int = SEED,
     candidates: Sequence[str] = tuple(fx.COLUMNS),
 ) -> Detection:
@@ -136,7 +136,7 @@ def detect(
     )
 
 
-def hmm_status(detection: Detection, starts: int = 5, seed: int = SEED, steps: int = 100) -> DataFrame:
+def hmm_status(detection: Detection, starts: int = 20, seed: int = SEED, steps: int = 100) -> DataFrame:
     """Log-likelihood of a hidden Markov model on the chosen features; labels are not touched."""
     best = detection.scores.where("is_best").select(*MODEL)
     rows = staged(points(detection.features).join(best, MODEL, "left_semi"))
@@ -154,7 +154,7 @@ def detect_dev(
     long: int = fx.LONG,
     stability_window: int = 2_000,
     include_hmm: bool = True,
-    starts: int = 5,
+    starts: int = 20,
     seed: int = SEED,
     hmm_steps: int = 200,
     candidates: Sequence[str] = tuple(fx.COLUMNS),
@@ -196,7 +196,7 @@ def detect_walk_forward(
     long: int = fx.LONG,
     stability_window: int = 2_000,
     include_hmm: bool = True,
-    starts: int = 5,
+    starts: int = 20,
     seed: int = SEED,
     hmm_steps: int = 200,
     candidates: Sequence[str] = tuple(fx.COLUMNS),
@@ -255,7 +255,7 @@ def detect_walk_forward(
 
 
 def train_labels(
-    bars: DataFrame, detection: Detection, plan: wf.WalkForward, starts: int = 5, seed: int = SEED, hmm_steps: int = 200
+    bars: DataFrame, detection: Detection, plan: wf.WalkForward, starts: int = 20, seed: int = SEED, hmm_steps: int = 200
 ) -> DataFrame:
     """Labels of the train rows by each block's own chosen model, for the train-learned filter."""
     counts = staged(wf.bar_counts(bars))

@@ -209,6 +209,7 @@ class WalkForwardResult:
     block_regime_metrics: DataFrame
     ranking: DataFrame
     filters: DataFrame | None
+    unfiltered: DataFrame | None
 
 
 def evaluate(
@@ -221,21 +222,23 @@ def evaluate(
     filter_threshold: float = 0.0,
     capital: float = CAPITAL,
     cost_bps: float = COST_BPS,
+    filter_rows: int = 5_000,
 ) -> WalkForwardResult:
     """Backtest every block's test slice with its own labels and stitch the blocks.
 
     With ``train_labels`` (labels of train rows by the block's own model) signals are first
-    limited to the regimes that paid on the train slice, in blocks with enough train rows.
+    limited to the regimes that paid on the train slice, in blocks with at least
+    ``filter_rows`` train rows; ``unfiltered`` lists the blocks left out.
     """
     counts = staged(bar_counts(bars))
     blocks = labels.select("symbol", "block").distinct()
     test = block_signals(signals, counts, plan).join(blocks, ["symbol", "block"])
     regimes = staged(block_regimes(bars, labels, counts, plan))
-    filters = None
+    filters = unfiltered = None
     if train_labels is not None:
-        least = max(5_000, 200 * rg.STATES)
-        sizes = train_labels.groupBy("symbol", "block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-        eligible = sizes.select("symbol", "block")
+        sizes = staged(train_labels.groupBy("symbol", "block").agg(F.count(F.lit(1)).alias("train_rows")))
+        eligible = sizes.where(F.col("train_rows") >= filter_rows).select("symbol", "block")
+        unfiltered = blocks.join(eligible, ["symbol", "block"], "left_anti").join(sizes, ["symbol", "block"], "left")
         train = block_signals(signals, counts, plan, "train").join(eligible, ["symbol", "block"])
         train_regimes = block_regimes(bars, train_labels.join(eligible, ["symbol", "block"]), counts, plan, "train")
         train_returns = staged(bt.strategy_returns(bars, train, cost_bps, BLOCK_KEYS))
@@ -259,4 +262,5 @@ def evaluate(
         block_regime_metrics=run.regime_metrics,
         ranking=rank_strategies(run.regime_metrics),
         filters=filters,
+        unfiltered=unfiltered,
     )

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from barlight.operators import backtest as bt
 from barlight.operators import classify, clean, continuous
 from barlight.operators import features as fx
+from barlight.operators import report as rp
 from barlight.operators import signals as sg
 from barlight.operators import stress as st
 from barlight.operators import tournament as tm
 from barlight.operators import walkforward as wf
-from barlight.operators.ordered import thin, with_ordinal
+from barlight.operators.ordered import with_ordinal
 from barlight.schema import CAPITAL, COST_BPS, STRATEGIES, STRESS_MODELS
 from barlight.session import staged
 from barlight.sources.runs import RunStore, model_catalogue, run_row
@@ -36,7 +37,7 @@ class Settings:
     long: int = fx.LONG
     stability_window: int = 2_000
     seed: int = 181
-    starts: int = 5
+    starts: int = 20
     hmm_steps: int = 200
     strategies: Sequence[str] = field(default_factory=lambda: tuple(STRATEGIES))
     capital: float = CAPITAL
@@ -48,10 +49,10 @@ class Settings:
     block: int = 30
     keep_paths: int = 50
     drawdown_threshold: float = 0.20
-    equity_points: int = 10_000
     train_filter: bool = False
     filter_metric: str = "sharpe"
     filter_threshold: float = 0.0
+    filter_rows: int = 5_000  # train rows a block needs for a filter
     regime_only: bool = False
 
 
@@ -112,6 +113,8 @@ def run(bars: DataFrame, store: RunStore, run_id: str, s: Settings = Settings())
         store.write_by_model(table, df.join(best, "symbol"), run_id)
 
     store.write("models", models, run_id)
+    if found.skipped is not None:
+        store.write("skipped_models", found.skipped, run_id)
     store.write("runs", run_row(clean.load_summary(bars), run_id, "regime_only" if s.regime_only else "full", **asdict(s)), run_id)
     for table, df in {
         "bars": bars, "regime_labels": labels, "regime_stats": found.stats, "regime_transitions": found.transitions,
@@ -138,17 +141,19 @@ def run(bars: DataFrame, store: RunStore, run_id: str, s: Settings = Settings())
     if found.blocks is not None:
         train = tm.train_labels(bars, found, s.walk_forward, s.starts, s.seed, s.hmm_steps) if s.train_filter else None
         out = wf.evaluate(
-            bars, signals, labels, s.walk_forward, train, s.filter_metric, s.filter_threshold, s.capital, s.cost_bps
+            bars, signals, labels, s.walk_forward, train, s.filter_metric, s.filter_threshold, s.capital, s.cost_bps, s.filter_rows
         )
         save("strategy_metrics_oos", out.block_metrics)
         save("strategy_per_regime_metrics_oos", out.block_regime_metrics)
         save("strategy_regime_rankings_oos", out.ranking)
+        if out.unfiltered is not None:
+            save("unfiltered_blocks", out.unfiltered)
         returns, by_regime = out.returns, out.regime_metrics
     else:
         out = bt.run_backtests(bars, signals, regimes, s.capital, s.cost_bps)
         returns, by_regime = out.returns, out.regime_metrics
     save("strategy_returns", returns)
-    save("equity_curves", thin(staged(out.equity), s.equity_points, bt.KEYS))
+    save("equity_curves", out.equity)
     save("metrics", out.metrics)
     save("per_regime_metrics", by_regime)
     save("trades", out.trades)
@@ -158,4 +163,6 @@ def run(bars: DataFrame, store: RunStore, run_id: str, s: Settings = Settings())
     )
     save("stress_summary", stress.summary)
     save("monte_carlo_paths", stress.paths)
+    save("monte_carlo_bands", rp.path_bands(stress.equity, st.SCENARIO))
+    save("monte_carlo_terminal", rp.terminal_frame(stress.equity, s.capital))
     return found

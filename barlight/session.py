@@ -59,6 +59,7 @@ def sized(df: DataFrame) -> DataFrame:
 
     A join then broadcasts it only when it fits the broadcast limit; beyond that both
     sides are shuffled and adaptive execution splits a hot key. Without this the planner
-    would guess from the size of the large table and shuffle that one every time.
+    would guess from the size of the large table and shuffle that one every time. The aggregate
+    keeps its partitions; adaptive execution joins small ones.
     """
-    return staged(df.coalesce(1))
+    return staged(df)

@@ -286,8 +286,8 @@ def _(spark, sf):
 
 # --- stress ------------------------------------------------------------------
 
-SIMS, HORIZON, BLOCK, SEED = 8, 20, 6, 181
-ST = ["sma_cross__baseline", "zscore_mr__baseline"]
+SIMS, HORIZON, BLOCK, SEED = 12, 24, 6, 181
+ST = tr.STRATEGIES
 REQUEST = ["each", "all", "each", "no such regime"]
 P = "symbol, strategy, regime_filter, stress_model, simulation"
 SC = "symbol, strategy, regime_filter, stress_model"
@@ -306,9 +306,9 @@ view(
 view(
     "stpool",
     f"""SELECT symbol, strategy, pool, row_number() OVER (PARTITION BY symbol, strategy, pool ORDER BY date) - 1 AS ord, r AS "return" FROM (
-    SELECT symbol, strategy, 'all' AS pool, date, "return" AS r FROM bret15 WHERE strategy IN ('{ST[0]}', '{ST[1]}') UNION ALL
+    SELECT symbol, strategy, 'all' AS pool, date, "return" AS r FROM bret15 UNION ALL
     SELECT b.symbol, strategy, regime_name, b.date, "return" FROM bret15 b JOIN streg g ON g.symbol = b.symbol AND g.date = b.date
-    WHERE strategy IN ('{ST[0]}', '{ST[1]}') AND regime_name IS NOT NULL) t""",
+    WHERE regime_name IS NOT NULL) t""",
 )
 view(
     "ststat",
@@ -360,6 +360,7 @@ view(
     SELECT *, product(1 + "return") OVER (PARTITION BY {P} ORDER BY step ROWS UNBOUNDED PRECEDING) AS wealth FROM stpaths) t""",
 )
 view("stends", f"SELECT {P}, max_by(wealth, step) - 1 AS terminal, min(drawdown) AS max_drawdown, count(*) AS horizon FROM stwealth GROUP BY ALL")
+view("stequity", f"""SELECT {P}, step, "return", 100000 * wealth AS equity FROM stwealth""")
 view("steq", f"""SELECT {P}, step, "return", 100000 * wealth AS equity FROM stwealth WHERE simulation < 5""")
 _E = "(100000 * (1 + terminal))"
 view(
@@ -389,7 +390,7 @@ def stress_regimes(spark, sf):
 
 
 def stress_inputs(spark, sf):
-    return tr.rule_returns(spark, sf).where(F.col("strategy").isin(ST)), stress_regimes(spark, sf)
+    return tr.rule_returns(spark, sf), stress_regimes(spark, sf)
 
 
 def stress_paths(spark, sf, models=tuple(st.STRESS_MODELS)):
@@ -400,7 +401,7 @@ def stress_paths(spark, sf, models=tuple(st.STRESS_MODELS)):
 
 @shared
 def stress(spark, sf):
-    returns = tr.rule_returns(spark, sf).where(F.col("strategy").isin(ST))
+    returns = tr.rule_returns(spark, sf)
     return st.run_stress(
         returns, tr.labelled(spark, sf), REQUEST, keep_paths=5, simulations=SIMS, horizon=HORIZON, block=BLOCK, seed=SEED, uniform=uniform
     )
@@ -411,6 +412,11 @@ def saved(spark, sf):
     return stress(spark, sf).paths
 
 
+@shared
+def all_equity(spark, sf):
+    return stress(spark, sf).equity
+
+
 @shared
 def saved_summary(spark, sf):
     return stress(spark, sf).summary
@@ -482,18 +488,18 @@ _BANDS = ", ".join(f"{rnd(f'quantile_cont(equity, {p})', 5)} AS p{n}" for p, n i
 view(
     "stterm",
     f"""SELECT {P}, max_by(equity, step) AS terminal_equity, max_by(equity, step) / 100000 - 1 AS terminal_return, min(equity / peak) - 1 AS max_drawdown FROM (
-    SELECT *, max(equity) OVER (PARTITION BY {P} ORDER BY step ROWS UNBOUNDED PRECEDING) AS peak FROM steq) t GROUP BY ALL""",
+    SELECT *, max(equity) OVER (PARTITION BY {P} ORDER BY step ROWS UNBOUNDED PRECEDING) AS peak FROM stequity) t GROUP BY ALL""",
 )
 
 
-@check("a21_path_bands", f"SELECT {SC}, step, {_BANDS}, {rnd('avg(equity)', 5)} AS mean FROM steq GROUP BY {SC}, step")
+@check("a21_path_bands", f"SELECT {SC}, step, {_BANDS}, {rnd('avg(equity)', 5)} AS mean FROM stequity GROUP BY {SC}, step")
 def _(spark, sf):
-    return rounded(rp.path_bands(saved(spark, sf), st.SCENARIO), 5)
+    return rounded(rp.path_bands(all_equity(spark, sf), st.SCENARIO), 5)
 
 
 @check("a22_terminal_frame", f"SELECT {P}, {q(['terminal_equity', 'terminal_return', 'max_drawdown'])} FROM stterm")
 def _(spark, sf):
-    return rounded(rp.terminal_frame(saved(spark, sf)), 6)
+    return rounded(rp.terminal_frame(all_equity(spark, sf)), 6)
 
 
 @check(
@@ -502,7 +508,7 @@ def _(spark, sf):
     {rnd('min(terminal_equity)', 5)} AS min_equity, {rnd('max(terminal_equity)', 5)} AS max_equity FROM stterm GROUP BY {SC}""",
 )
 def _(spark, sf):
-    return rounded(rp.ending_balances(rp.terminal_frame(saved(spark, sf)), st.SCENARIO), 5)
+    return rounded(rp.ending_balances(rp.terminal_frame(all_equity(spark, sf)), st.SCENARIO), 5)
 
 
 @check(
@@ -512,7 +518,7 @@ def _(spark, sf):
     SELECT *, min(terminal_return) OVER (PARTITION BY symbol, strategy) AS lo, max(terminal_return) OVER (PARTITION BY symbol, strategy) AS hi FROM stterm) a) b GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    return rounded(rp.histogram(staged(rp.terminal_frame(saved(spark, sf))), "terminal_return", ["symbol", "strategy"]), 6)
+    return rounded(rp.histogram(staged(rp.terminal_frame(all_equity(spark, sf))), "terminal_return", ["symbol", "strategy"]), 6)
 
 
 @check(
@@ -520,7 +526,7 @@ def _(spark, sf):
     f"SELECT {SC}, " + ", ".join(f"{rnd(f'quantile_cont(max_drawdown, {p})', 6)} AS p{n}" for p, n in ((0.05, "05"), (0.5, "50"), (0.95, "95"))) + f" FROM stterm GROUP BY {SC}",
 )
 def _(spark, sf):
-    return rounded(rp.distribution_marks(rp.terminal_frame(saved(spark, sf)), "max_drawdown", st.SCENARIO), 6)
+    return rounded(rp.distribution_marks(rp.terminal_frame(all_equity(spark, sf)), "max_drawdown", st.SCENARIO), 6)
 
 
 @check("a26_mean_loss_probability", f"SELECT symbol, {rnd('avg(probability_of_loss)', 6)} AS probability_of_loss FROM stsum GROUP BY 1")
@@ -528,9 +534,9 @@ def _(spark, sf):
     return rounded(rp.mean_loss_probability(saved_summary(spark, sf)), 6)
 
 
-@check("a27_average_paths", f"SELECT {SC}, step, {rnd('avg(equity)', 5)} AS average, {rnd('quantile_cont(equity, 0.5)', 5)} AS median FROM steq GROUP BY {SC}, step")
+@check("a27_average_paths", f"SELECT {SC}, step, {rnd('avg(equity)', 5)} AS average, {rnd('quantile_cont(equity, 0.5)', 5)} AS median FROM stequity GROUP BY {SC}, step")
 def _(spark, sf):
-    return rounded(rp.average_paths(saved(spark, sf), st.SCENARIO), 5)
+    return rounded(rp.average_paths(all_equity(spark, sf), st.SCENARIO), 5)
 
 
 _T5 = rnds("terminal_equity_p50", "terminal_equity_p95", digits=4) + ", " + rnds("max_drawdown_p95", "probability_of_loss", "risk_of_ruin", digits=9)

@@ -82,8 +82,8 @@ check("m15_gradient_boosting")(_learned("ml_gbrt"))
 @check("g5_learned_signals")
 def _(spark, sf):
     base = indexed(spark, sf)
-    learned = classify.learned_signals(base, ["ml_logreg", "ml_rf"])
-    return sg.strategy_signals(base, tr.labelled(spark, sf), learned, ["ml_logreg", "ml_rf"]).drop("close")
+    learned = classify.learned_signals(base, classify.LEARNED)
+    return sg.strategy_signals(base, tr.labelled(spark, sf), learned, list(classify.LEARNED)).drop("close")
 
 
 @check("m3_kmeans_fit")
@@ -154,4 +154,4 @@ def _(spark, sf):
     made = walk_forward(spark, sf)
     learned = tm.train_labels(base, made, ev.PLAN, starts=2)
     signals = tr.rules(spark, sf).where(F.col("strategy").isin(ev.STRATS))
-    return wf.evaluate(base, signals, made.labels, ev.PLAN, learned).ranking
+    return wf.evaluate(base, signals, made.labels, ev.PLAN, learned, filter_rows=200).ranking

@@ -109,7 +109,7 @@ def test_run_saves_every_table(spark, tmp_path):
     bars = segments(spark)
     store = RunStore(spark, str(tmp_path / "runs"))
     settings = research.Settings(
-        strategies=("sma_cross", "donchian"), starts=1, simulations=5, horizon=10, block=5, keep_paths=2, equity_points=100, stability_window=200
+        strategies=("sma_cross", "donchian"), starts=1, simulations=5, horizon=10, block=5, keep_paths=2, stability_window=200
     )
     found = research.run(bars, store, "run_1", settings)
     scores = found.scores.collect()
@@ -118,10 +118,13 @@ def test_run_saves_every_table(spark, tmp_path):
     assert set(labels["regime_name"]) == set(REGIME_NAMES)
     assert np.allclose(labels[[f"prob_regime_{k}" for k in range(4)]].sum(axis=1), 1.0)
     assert store.read("metrics", "run_1").count() == 6
-    assert store.read("equity_curves", "run_1").count() == 600
+    assert store.read("equity_curves", "run_1").count() == 6 * 900
     stress = store.read("stress_summary", "run_1").toPandas()
     assert set(stress["stress_model"]) == {"gbm", "regime_mixture_gbm", "block_bootstrap"}
     assert (stress["terminal_p5"] <= stress["terminal_p50"]).all() and (stress["terminal_p50"] <= stress["terminal_p95"]).all()
+    ends = store.read("monte_carlo_terminal", "run_1")
+    assert ends.agg(F.max("simulation")).first()[0] == 4  # distributions are of all simulations
+    assert store.read("monte_carlo_bands", "run_1").agg(F.max("step")).first()[0] == 10
     paths = store.read("monte_carlo_paths", "run_1")
     assert paths.agg(F.max("simulation")).first()[0] == 1
     by_regime = store.read("per_regime_metrics", "run_1").groupBy("strategy").agg(F.sum("bars")).collect()
