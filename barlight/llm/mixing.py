@@ -86,13 +86,13 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total_tokens: float | None = None, least_rate: float = 0.0, tolerance: float = 1e-4, most_steps: int = 60, cut_every: int = 12) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total_tokens: float | None = None, least_rate: float = 0.0, tolerance: float = 1e-4, least_gain: float = 1e-3, most_steps: int = 60, cut_every: int = 12) -> DataFrame:
     """doc_id, n_tokens, p (posterior by domain), rate, copies (whole repeats whose expectation is the rate).
 
     targets: weight of each domain, equal ones by default; domains it doesn't name get 0, names without labelled rows are an error.
     total_tokens: the budget; by default the least with which no domain has to shrink. Gradients are scaled by the inverse Gram
-    matrix of the domains over the documents that aren't at the bound, so a step of 1 is about right whatever the sizes of documents. Rates stay
-    where no step brings the expected totals nearer. Documents without words have rate 1. Rows that repeat are rated each alike; a row without doc_id is rated too.
+    matrix of the domains over the documents that aren't at the bound, so a step of 1 is about right whatever the sizes of documents. Steps end at the
+    tolerance (of the budget, in each domain), or where one shortens the distance slowly and by less than least_gain of the first distance. Documents without words have rate 1. Rows that repeat are rated each alike; a row without doc_id is rated too.
     """
     features, domains = posteriors(staged(described(docs)), labelled)
     k = len(domains)
@@ -124,17 +124,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     if total_tokens is None:
         total_tokens = max((t / w for t, w in zip(now, weight, strict=True) if w > 0), default=0.0)
     goal = [w * total_tokens for w in weight]
-    metric, before = gram, math.inf
+    metric, before, start = gram, math.inf, 0.0
     for _ in range(most_steps if total_tokens else 0):
         off = [t - g for t, g in zip(now, goal, strict=True)]
         # The squared distance in the metric of all documents; a step that doesn't shorten it is halved.
         distance = sum(x * y for x, y in zip(off, solved(metric, off), strict=True))
         if distance > before:
             steps[-1] = [x / 2 for x in steps[-1]]
-        elif max(map(abs, off)) <= tolerance * total_tokens or distance > before * (1 - 1e-3):
+        elif max(map(abs, off)) <= tolerance * total_tokens or (distance > 0.5 * before and before - distance < least_gain * start):
             break
         else:
-            before = distance
+            before, start = distance, start or distance
             if len(steps) >= cut_every:
                 state = staged(state.select("doc_id", "n_tokens", "p", rates().alias("rate")))
                 steps.clear()
