@@ -219,6 +219,7 @@ def detect_walk_forward(
         trains = train if trains is None else trains.unionByName(train)
         tests = test if tests is None else tests.unionByName(test)
         sizes = valid if sizes is None else sizes.unionByName(valid)
+    sizes = staged(sizes)
     trains, tests = staged(trains), staged(tests)
     centers = clusters(trains, keys, starts, seed)
     labelled = None
@@ -238,7 +239,11 @@ def detect_walk_forward(
     used = list(model_families or families(include_hmm))
     tried = tried.withColumn("model_family", F.explode(F.array(*[F.lit(f) for f in used])))
     model_id = F.concat_ws("::", "candidate", "model_family")
-    ranking = wf.rank_models(blocks, tried, FAMILY).withColumn("model_id", model_id)
+    usable = None
+    for frame in rows.values():
+        part = frame.select("symbol", "candidate").distinct()
+        usable = part if usable is None else usable.unionByName(part)
+    ranking = wf.rank_models(blocks, tried, FAMILY, sizes, usable).withColumn("model_id", model_id)
     ranked = staged(rg.best_model(ranking.withColumn("_s", F.coalesce("oos_score_mean", F.lit(-1.0))), "_s", model="model_id").drop("_s"))
     best = staged(_chosen(labelled, ranked.where(F.col("is_best") & (F.col("status") == "ok")), FAMILY))
     label_rows = rg.label_table(best, F.concat(model_id, F.lit("::wf")), ("symbol", "block"), F.col("posterior"))

@@ -122,10 +122,14 @@ SCORE_PARTS = {
 }
 
 
-def rank_models(scores: DataFrame, models: DataFrame, model_keys: Sequence[str]) -> DataFrame:
+def rank_models(
+    scores: DataFrame, models: DataFrame, model_keys: Sequence[str], valid: DataFrame | None = None, usable: DataFrame | None = None
+) -> DataFrame:
     """Mean and spread of the block scores per model, working models first, best score first.
 
-    ``models`` lists every model tried, so those without a valid block appear as failed.
+    ``models`` lists every model tried: those without a scored block appear as failed, those whose candidate is not among
+    ``usable`` (symbol, candidate) as skipped. ``valid`` lists the blocks (symbol, candidate, block) with enough rows; without
+    it the scored ones count as all.
     """
     table = scores.groupBy(*model_keys).agg(
         F.count(F.lit(1)).alias("blocks"),
@@ -133,8 +137,20 @@ def rank_models(scores: DataFrame, models: DataFrame, model_keys: Sequence[str])
         F.stddev_pop("oos_score").alias("oos_score_std"),
         *[F.avg(c).alias(n) for n, c in SCORE_PARTS.items()],
     )
-    out = models.join(table, list(model_keys), "left")
-    out = out.withColumn("status", F.when(F.col("blocks").isNotNull(), "ok").otherwise("failed"))
+    out = models.join(table, list(model_keys), "left").withColumnRenamed("blocks", "_scored")
+    on = ["symbol", "candidate"]
+    if valid is None:
+        out = out.withColumn("blocks", F.col("_scored"))
+    else:
+        out = out.join(valid.groupBy(*on).agg(F.count_distinct("block").alias("blocks")), on, "left")
+    out = out.withColumn("failed_blocks", F.col("blocks") - F.coalesce("_scored", F.lit(0)))
+    known = F.lit(True)
+    if usable is not None:
+        out, known = out.join(usable.select(*on).distinct().withColumn("_usable", F.lit(True)), on, "left"), F.coalesce("_usable", F.lit(False))
+    ok = F.col("_scored").isNotNull()
+    out = out.withColumn("status", F.when(ok, "ok").when(known, "failed").otherwise("skipped"))
+    reason = F.when(ok, None).when(known, "no block with enough rows could be scored").otherwise("too few complete rows or columns")
+    out = out.withColumn("reason", reason).drop("_scored", "_usable")
     return out.orderBy("symbol", (F.col("status") == "ok").desc(), F.col("oos_score_mean").desc())
 
 

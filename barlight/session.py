@@ -30,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
+        _refuse_own_disks(spark, folder)
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -38,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _refuse_own_disks(spark: SparkSession, folder: str) -> None:
+    """On a cluster a path of the local file system is each machine's own disk, unless a shared one is mounted there."""
+    if spark.sparkContext.master.startswith("local") or spark.conf.get("spark.barlight.sharedMount", "false") == "true":
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+    if scheme == "file":
+        raise RuntimeError(f"{folder} is on local disks; name a shared folder, or set spark.barlight.sharedMount where one is mounted there")
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 

@@ -16,9 +16,9 @@ TABLES = [
     "price_regimes", "strategy_signals", "strategy_returns", "equity_curves", "metrics", "per_regime_metrics",
     "trades", "stress_summary", "monte_carlo_paths", "oos_regime_labels", "oos_regime_model_rankings",
     "oos_regime_blocks", "strategy_metrics_oos", "strategy_per_regime_metrics_oos", "strategy_regime_rankings_oos",
-    "models", "runs",
+    "models", "runs", "monte_carlo_bands", "monte_carlo_terminal", "skipped_models", "unfiltered_blocks",
 ]
-CATALOGUE = ["models", "runs"]  # one set of rows per run, not per model
+CATALOGUE = ["models", "runs", "skipped_models"]  # one set of rows per run, not per model
 PRIMARY_ROWS = 100_000
 
 
@@ -61,7 +61,9 @@ class RunStore:
         """The run's table for the wanted model; a table that was not written is empty."""
         try:
             rows = self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return self.spark.createDataFrame([], "run_id string, model_id string")
         rows = rows.where(F.col("run_id") == run_id)
         if table in CATALOGUE:
@@ -69,6 +71,23 @@ class RunStore:
         on = [c for c in ("symbol", "model_id") if c in rows.columns]
         return rows.join(selected_model(self.read("models", run_id), model_id).select(*on).distinct(), on, "left_semi")
 
+    def manifests(self) -> DataFrame:
+        """One row per saved run, as ``available_runs`` wants it: mode, bars, when it was saved, whether its main tables are there."""
+        rows = self._all("runs").groupBy("run_id", "mode").agg(F.sum("rows").alias("rows"), F.max("created_at").alias("modified"))
+        found = F.lit(True)
+        for table in ("metrics", "equity_curves"):
+            saved = self._all(table).select("run_id").distinct().withColumn(f"_{table}", F.lit(True))
+            rows, found = rows.join(saved, "run_id", "left"), found & F.coalesce(f"_{table}", F.lit(False))
+        return rows.select("run_id", "mode", "rows", "modified", found.alias("has_tables"))
+
+    def _all(self, table: str) -> DataFrame:
+        try:
+            return self.spark.read.parquet(f"{self.root}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return self.spark.createDataFrame([], "run_id string, mode string, rows bigint, created_at timestamp")
+
     def load(self, run_id: str, model_id: str | None = None) -> dict[str, DataFrame]:
         """All tables of a run for one model."""
         return {t: self.read(t, run_id, model_id) for t in TABLES}

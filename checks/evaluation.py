@@ -105,7 +105,8 @@ view(
 )
 view(
     "wfrank",
-    f"""SELECT symbol, candidate, 'given' AS model_family, CASE WHEN blocks IS NULL THEN 'failed' ELSE 'ok' END AS status, * EXCLUDE (symbol, candidate) FROM (
+    f"""SELECT symbol, candidate, 'given' AS model_family, CASE WHEN blocks IS NULL THEN 'failed' ELSE 'ok' END AS status,
+    CASE WHEN blocks IS NULL THEN 'no block with enough rows could be scored' END AS reason, blocks - blocks AS failed_blocks, * EXCLUDE (symbol, candidate) FROM (
     SELECT DISTINCT symbol, candidate FROM wfrows) m LEFT JOIN (SELECT symbol, candidate, count(*) AS blocks, avg(oos_score) AS oos_score_mean,
     stddev_pop(oos_score) AS oos_score_std, {', '.join(f'avg({p}) AS {p}' for p in PARTS)} FROM wfscore GROUP BY 1, 2) s USING (symbol, candidate)""",
 )
@@ -168,7 +169,7 @@ def _(spark, sf):
     return rounded(scores.select(*MK, "oos_score", *[F.col(c).alias(n) for n, c in wf.SCORE_PARTS.items()]))
 
 
-@check("a18_model_ranking", f"SELECT symbol, candidate, model_family, status, CAST(blocks AS DOUBLE) AS blocks, {rnds('oos_score_mean', 'oos_score_std', *PARTS)} FROM wfrank")
+@check("a18_model_ranking", f"SELECT symbol, candidate, model_family, status, reason, CAST(failed_blocks AS DOUBLE) AS failed_blocks, CAST(blocks AS DOUBLE) AS blocks, {rnds('oos_score_mean', 'oos_score_std', *PARTS)} FROM wfrank")
 def _(spark, sf):
     keys = ["symbol", "candidate", "model_family"]
     labels = wf_labels(spark, sf)
@@ -177,7 +178,7 @@ def _(spark, sf):
         part = rows.select("symbol", "candidate").distinct()
         tried = part if tried is None else tried.unionByName(part)
     scores = wf.block_scores(labels, MK).withColumn("model_family", F.lit("given"))
-    return rounded(wf.rank_models(scores, tried.withColumn("model_family", F.lit("given")), keys).withColumn("blocks", F.col("blocks").cast("double")))
+    return rounded(wf.rank_models(scores, tried.withColumn("model_family", F.lit("given")), keys).withColumns({c: F.col(c).cast("double") for c in ("blocks", "failed_blocks")}))
 
 
 # strategies per block, with the minute model's labels

@@ -12,7 +12,7 @@ from barlight.operators import tournament as tm
 from barlight.plans import research
 from barlight.schema import REGIME_NAMES
 from barlight.session import staged
-from barlight.sources.runs import RunStore
+from barlight.sources.runs import RunStore, available_runs
 
 from helpers import START, bars_frame, from_pandas, segments
 
@@ -127,6 +127,8 @@ def test_run_saves_every_table(spark, tmp_path):
     assert store.read("monte_carlo_bands", "run_1").agg(F.max("step")).first()[0] == 10
     paths = store.read("monte_carlo_paths", "run_1")
     assert paths.agg(F.max("simulation")).first()[0] == 1
+    picked = available_runs(store.manifests(), primary_rows=900).collect()
+    assert [(r["run_id"], r["mode"], r["rows"], r["has_tables"]) for r in picked] == [("run_1", "full", 900, True)]
     by_regime = store.read("per_regime_metrics", "run_1").groupBy("strategy").agg(F.sum("bars")).collect()
     first = labels["idx"].min()
     assert {r[1] for r in by_regime} == {900 - first}
