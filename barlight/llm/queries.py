@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm import chat, html_extract, jaccard, mixing, packing, phrases, suffixes, topk, toxicity, winnowing
+from barlight.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +65,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op3_source_mixing, op4_suffix_buckets, op5_toxicity, op6_wrapper_induction, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing)}
-
-ORACLE_SQL: dict[str, str] = {}

@@ -1,5 +1,51 @@
-"""DuckDB twins of those queries that SQL can express."""
+"""DuckDB twins of those queries that SQL can express. Texts, tables and parameters are those of the queries.
+
+Byte windows (op4) would be one row for each byte, too many for SQL on whole tables; they are tested against a brute-force version.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = f"translate(coalesce(text, ''), '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+
+OP2 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+words AS (SELECT r, len(w) AS n, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+s AS (SELECT r, n, j, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS k FROM words),
+h AS (SELECT r, j, word, CASE WHEN j <= n - 34 AND count(*) FILTER (j <= n - 34) OVER (PARTITION BY k) > 1 THEN 1 ELSE 0 END AS hit FROM s),
+c AS (SELECT r, j, word, max(hit) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM h),
+k AS (SELECT r, sum(gone) AS n, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS t FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+OP7 = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.replace("coalesce(text, '')", LOWER)} AS w FROM documents),
+d AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM d WHERE doc_id IS NOT NULL),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n) AS m, any_value(b.n) AS n FROM t a JOIN t b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * shared >= 80 * (m + n - shared) AND x <> y),
+edges AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT DISTINCT doc_id, doc_id AS c FROM d WHERE doc_id IS NOT NULL UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = c),
+roots AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN roots USING (doc_id)"""
+
+OP8 = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+e AS (SELECT *, replace(replace(role, '%', '%25'), chr(10), '%0A') AS r FROM t),
+f AS (SELECT *, 12 + length(r) + len(regexp_extract_all(r, '<\\*\|')) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 11 AS size FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(size) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens FROM f GROUP BY conv_id"""
+
+OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_repeated_phrases": OP2,
+    "op7_prefix_tree_join": OP7,
+    "op8_chat_formatting": OP8,
+    "op9_exact_top_k": OP9,
+}
