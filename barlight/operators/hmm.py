@@ -1,9 +1,13 @@
 """Four-state Gaussian hidden Markov models with diagonal covariance, many at once.
 
-A model's rows are cut into sequences: one per trade day, and never longer than
-``SEQUENCE_ROWS``. The expectation step runs per batch of sequences inside the tasks and
-returns sums per model; the sums are added by Spark; the maximisation step works on one
-row per model. Parameters are a written table, joined to the sequences each round.
+A model's rows are one unbroken sequence. It is cut into blocks of ``BLOCK_ROWS`` only to share out the work: the first pass
+turns each block into a 4 x 4 matrix (what reaches its last row from its first, scaled, and the same for best paths); a scan
+over the small table of matrices, one row for each block, gives every block the state distribution it is entered
+with, the weight of what comes after it, and the state its best path ends in; the second pass works inside the blocks. The
+result doesn't depend on the length of the blocks.
+
+The expectation step returns sums per block; the sums are added by Spark; the maximisation step works on one
+row per model. Parameters are a written table, joined to the blocks each round.
 """
 
 from __future__ import annotations
@@ -18,17 +22,17 @@ from pyspark.sql import functions as F
 from barlight.operators.regimes import STATES
 from barlight.session import staged
 
-SEQUENCE_ROWS = 2_048
+BLOCK_ROWS = 2_048
+BATCH_BLOCKS = 64  # blocks worked on together
 COVARIANCE_PRIOR = 1e-2
 PARAMETERS = "start array<double>, moves array<double>, means array<double>, spreads array<double>"
 
 
-def sequences(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per sequence: its first position and its points, in order, as one flat array."""
-    cut = [F.to_date("date").alias("_day"), F.floor(F.col("pos") / SEQUENCE_ROWS).alias("_part")]
-    rows = points.groupBy(*keys, *cut).agg(F.sort_array(F.collect_list(F.struct("pos", "z"))).alias("_s"))
+def blocks(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per block: its number, positions and points, in order, as one flat array."""
+    rows = points.groupBy(*keys, F.floor(F.col("pos") / BLOCK_ROWS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "z"))).alias("_s"))
     return rows.select(
-        *keys, F.transform("_s", lambda p: p["pos"]).alias("positions"), F.flatten(F.transform("_s", lambda p: p["z"])).alias("points")
+        *keys, "part", F.transform("_s", lambda p: p["pos"]).alias("positions"), F.flatten(F.transform("_s", lambda p: p["z"])).alias("points")
     )
 
 
@@ -45,7 +49,7 @@ def first_parameters(centers: DataFrame, keys: Sequence[str], dims: int) -> Data
 
 
 def _padded(pdf: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Points of all sequences as (sequence, time, dimension), and which cells are real."""
+    """Points of all blocks as (block, time, dimension), and which cells are real."""
     lengths = np.array([len(p) for p in pdf["positions"]])
     x = np.zeros((len(pdf), lengths.max(), dims))
     for i, flat in enumerate(pdf["points"]):
@@ -70,76 +74,190 @@ def _log_density(x: np.ndarray, means: np.ndarray, spreads: np.ndarray) -> np.nd
     return out
 
 
-def _forward_backward(logs, real, start, moves):
-    """Posteriors, expected moves and log-likelihood of a batch of sequences, scaled per step."""
-    top = logs.max(axis=2)
-    dens = np.exp(logs - top[..., None])
+def _forward_backward(logs, real, entering, moves, before=None, after=None):
+    """Posteriors, expected moves and log-likelihood of a batch of blocks, scaled per step.
+
+    ``entering``: state distribution for the first rows; ``before``: that of the row in front of each block (rows of
+    zeros where there is none); ``after``: weight of what follows each block, by the state of its last row.
+    """
+    top = np.where(real, logs.max(axis=2), 0.0)
+    dens = np.where(real[..., None], np.exp(np.minimum(logs - top[..., None], 0.0)), 1.0)
     n, steps, _ = logs.shape
     ahead, scale = np.zeros_like(dens), np.ones((n, steps))
     for t in range(steps):
-        a = start * dens[:, 0] if t == 0 else (ahead[:, t - 1] @ moves) * dens[:, t]
+        a = entering * dens[:, 0] if t == 0 else (ahead[:, t - 1] @ moves) * dens[:, t]
         total = np.maximum(a.sum(axis=1), 1e-300)
-        ahead[:, t] = a / total[:, None]
-        scale[:, t] = total
+        live = real[:, t]
+        ahead[:, t] = np.where(live[:, None], a / total[:, None], ahead[:, t - 1] if t else a)
+        scale[:, t] = np.where(live, total, 1.0)
+    last = ahead[:, -1]
+    weight = np.ones((n, STATES)) if after is None else np.asarray(after)
     back = np.ones_like(dens)
+    back[:, -1] = weight / np.maximum((last * weight).sum(axis=1, keepdims=True), 1e-300)
     expected = np.zeros((STATES, STATES))
     for t in range(steps - 2, -1, -1):
-        later = dens[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
         inside = real[:, t + 1][:, None]
-        back[:, t] = np.where(inside, later @ moves.T, 1.0)
-        weight = np.where(inside, 1.0, 0.0)
-        expected += moves * np.einsum("ni,nj->ij", ahead[:, t] * weight, later)
+        later = np.where(inside, dens[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None], 0.0)
+        back[:, t] = np.where(inside, later @ moves.T, back[:, t + 1])
+        expected += moves * np.einsum("ni,nj->ij", ahead[:, t], later)
+    if before is not None:
+        expected += moves * np.einsum("ni,nj->ij", np.asarray(before), dens[:, 0] * back[:, 0] / scale[:, 0, None])
     posterior = ahead * back
     posterior /= np.maximum(posterior.sum(axis=2, keepdims=True), 1e-300)
     likelihood = ((np.log(scale) + top) * real).sum()
     return posterior * real[..., None], expected, likelihood
 
 
-def _best_states(logs, real, start, moves):
-    """Most likely state path of each sequence."""
+def _best_states(logs, real, entering, moves, last=None):
+    """Most likely states of each block, given log scores (or probabilities) for its first row and the state of its last."""
     with np.errstate(divide="ignore"):
-        log_start, log_moves = np.log(start), np.log(moves)
+        log_moves = np.log(moves)
+        log_entering = np.log(entering) if last is None else np.asarray(entering)
     n, steps, _ = logs.shape
-    score = log_start + logs[:, 0]
+    score = log_entering + logs[:, 0]
     came = np.zeros((n, steps, STATES), dtype=int)
     for t in range(1, steps):
         options = score[:, :, None] + log_moves
-        came[:, t] = options.argmax(axis=1)
         moved = options.max(axis=1) + logs[:, t]
         live = real[:, t][:, None]
-        came[:, t] = np.where(live, came[:, t], np.arange(STATES))
+        came[:, t] = np.where(live, options.argmax(axis=1), np.arange(STATES))
         score = np.where(live, moved, score)
     path = np.zeros((n, steps), dtype=int)
-    path[:, -1] = score.argmax(axis=1)
+    path[:, -1] = score.argmax(axis=1) if last is None else last
     for t in range(steps - 2, -1, -1):
         path[:, t] = came[np.arange(n), t + 1, path[:, t + 1]]
     return path
 
 
-def expectation(seqs: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
+def _through(logs, real, moves):
+    """From first to last row of each block: scaled sums over all paths, and log scores of the best, both (block, from, to)."""
+    top = np.where(real, logs.max(axis=2), 0.0)
+    dens = np.exp(np.minimum(logs - top[..., None], 0.0))
+    with np.errstate(divide="ignore"):
+        log_moves = np.log(moves)
+    n, steps, _ = logs.shape
+    sums = np.tile(np.eye(STATES), (n, 1, 1))
+    with np.errstate(divide="ignore"):
+        best = np.log(sums)
+    for t in range(1, steps):
+        live = real[:, t][:, None, None]
+        moved = (sums @ moves) * dens[:, t][:, None, :]
+        moved /= np.maximum(moved.max(axis=(1, 2), keepdims=True), 1e-300)
+        sums = np.where(live, moved, sums)
+        further = (best[:, :, :, None] + log_moves).max(axis=2) + logs[:, t][:, None, :]
+        best = np.where(live, further, best)
+    return dens[:, 0], logs[:, 0], sums, best
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / max(v.sum(), 1e-300)
+
+
+def _linked(first, first_logs, sums, best, start, moves):
+    """Scan over one model's blocks in order: entering, before, after, best scores at entry and end states."""
+    with np.errstate(divide="ignore"):
+        log_start, log_moves = np.log(start), np.log(moves)
+    n = len(first)
+    entering, before, after = np.zeros((n, STATES)), np.zeros((n, STATES)), np.ones((n, STATES))
+    scores, ends = np.zeros((n, STATES)), np.zeros(n, dtype=int)
+    state, score, at_end = None, None, np.zeros((n, STATES))
+    for b in range(n):
+        entering[b] = start if b == 0 else _unit(state @ moves)
+        before[b] = 0.0 if b == 0 else state
+        state = _unit((entering[b] * first[b]) @ sums[b])
+        scores[b] = log_start if b == 0 else (score[:, None] + log_moves).max(axis=0)
+        score = (scores[b] + first_logs[b])[:, None] + best[b]
+        score = score.max(axis=0)
+        score -= score.max()
+        at_end[b] = score
+    for b in range(n - 1, -1, -1):
+        if b == n - 1:
+            ends[b] = at_end[b].argmax()
+        else:
+            nxt = b + 1
+            head = (scores[nxt] + first_logs[nxt] + best[nxt][:, ends[nxt]]).argmax()
+            ends[b] = (at_end[b] + log_moves[:, head]).argmax()
+            after[b] = _unit(moves @ (first[nxt] * (sums[nxt] @ after[nxt])))
+    return entering, before, after, scores, ends
+
+
+ENTRIES = "entering array<double>, before array<double>, after array<double>, scores array<double>, last int"
+
+
+def _by_model(batch: pd.DataFrame, keys: list[str]):
+    """Slices of a batch that belong to one model; padding is bounded by the number of blocks of a slice."""
+    for key, pdf in batch.groupby(keys, sort=False):
+        for at in range(0, len(pdf), BATCH_BLOCKS):
+            yield key, pdf.iloc[at : at + BATCH_BLOCKS]
+
+
+def entered(cut: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
+    """How each block is entered and left: keys, part and the columns of ENTRIES."""
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    typed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, pdf in _by_model(batch, keys):
+                _, moves, means, spreads = _model(pdf, dims)
+                x, real = _padded(pdf, dims)
+                first, first_logs, sums, best = _through(_log_density(x, means, spreads), real, moves)
+                frame = pd.DataFrame({"part": pdf["part"].to_numpy(), "matrix": [np.concatenate([a, b, c.ravel(), d.ravel()]) for a, b, c, d in zip(first, first_logs, sums, best)]})
+                for name, value in zip(keys, key):
+                    frame[name] = value
+                yield frame[[*keys, "part", "matrix"]]
+
+    matrices = cut.join(params.select(*keys, "start", "moves", "means", "spreads"), keys).mapInPandas(kernel, f"{typed}, part bigint, matrix array<double>")
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        rows = np.stack(pdf["matrix"].to_numpy())
+        start, moves = (np.asarray(pdf.iloc[0][c], dtype=float) for c in ("start", "moves"))
+        square = (len(rows), STATES, STATES)
+        got = _linked(rows[:, :4], rows[:, 4:8], rows[:, 8:24].reshape(square), rows[:, 24:].reshape(square), start, moves.reshape(STATES, STATES))
+        frame = pdf[[*keys, "part"]].reset_index(drop=True)
+        for name, value in zip(("entering", "before", "after", "scores"), got):
+            frame[name] = list(value)
+        frame["last"] = got[4]
+        return frame
+
+    # One row of 40 numbers for each block of BLOCK_ROWS rows.
+    return matrices.join(params.select(*keys, "start", "moves"), keys).groupBy(*keys).applyInPandas(scan, f"{typed}, part bigint, {ENTRIES}")
+
+
+def _with_entries(cut: DataFrame, params: DataFrame, keys: list[str], dims: int) -> DataFrame:
+    entries = staged(entered(cut, params, keys, dims))
+    return cut.join(entries, [*keys, "part"]).join(params.select(*keys, "start", "moves", "means", "spreads"), keys)
+
+
+def _stack(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in pdf[column]])
+
+
+def expectation(cut: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     """Summed statistics per model: one row with an array ``sums``."""
     keys = list(keys)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, pdf in batch.groupby(keys, sort=False):
-                start, moves, means, spreads = _model(pdf, dims)
+            for key, pdf in _by_model(batch, keys):
+                _, moves, means, spreads = _model(pdf, dims)
                 x, real = _padded(pdf, dims)
-                post, expected, likelihood = _forward_backward(_log_density(x, means, spreads), real, start, moves)
+                before = _stack(pdf, "before")
+                post, expected, likelihood = _forward_backward(_log_density(x, means, spreads), real, _stack(pdf, "entering"), moves, before, _stack(pdf, "after"))
+                opening = post[:, 0][before.sum(axis=1) == 0].sum(axis=0)
                 mass = post.sum(axis=(0, 1))
                 first = np.einsum("ntk,ntd->kd", post, x)
                 second = np.einsum("ntk,ntd->kd", post, x * x)
-                sums = np.concatenate(
-                    [[likelihood], post[:, 0].sum(axis=0), expected.ravel(), mass, first.ravel(), second.ravel()]
-                )
+                sums = np.concatenate([[likelihood], opening, expected.ravel(), mass, first.ravel(), second.ravel()])
                 out += [(*key, i, float(s)) for i, s in enumerate(sums)]
             yield pd.DataFrame(out, columns=[*keys, "position", "value"])
 
-    joined = seqs.join(params, keys)
-    kinds = {f.name: f.dataType.simpleString() for f in seqs.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", position int, value double"
-    parts = joined.mapInPandas(kernel, schema).groupBy(*keys, "position").agg(F.sum("value").alias("value"))
+    parts = _with_entries(cut, params, keys, dims).mapInPandas(kernel, schema).groupBy(*keys, "position").agg(F.sum("value").alias("value"))
     whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("_s"))
     return whole.select(*keys, F.transform("_s", lambda p: p["value"]).alias("sums"))
 
@@ -182,10 +300,10 @@ def fit(
 ) -> DataFrame:
     """Parameters and log-likelihood per key; stops when no key improves by more than the tolerance."""
     keys = list(keys)
-    seqs = staged(sequences(points, keys))
+    cut = staged(blocks(points, keys))
     params = staged(first_parameters(centers, keys, dims))
     for _ in range(max_iter):
-        after = staged(maximisation(expectation(seqs, params, keys, dims), keys, dims))
+        after = staged(maximisation(expectation(cut, params, keys, dims), keys, dims))
         if "log_likelihood" in params.columns:
             before = params.select(*keys, F.col("log_likelihood").alias("_before"))
             gain = after.join(before, keys).agg(F.max(F.col("log_likelihood") - F.col("_before"))).first()[0]
@@ -201,12 +319,12 @@ def decode(points: DataFrame, params: DataFrame, keys: Sequence[str], dims: int)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, pdf in batch.groupby(keys, sort=False):
-                start, moves, means, spreads = _model(pdf, dims)
+            for key, pdf in _by_model(batch, keys):
+                _, moves, means, spreads = _model(pdf, dims)
                 x, real = _padded(pdf, dims)
                 logs = _log_density(x, means, spreads)
-                post, _, _ = _forward_backward(logs, real, start, moves)
-                path = _best_states(logs, real, start, moves)
+                post, _, _ = _forward_backward(logs, real, _stack(pdf, "entering"), moves, None, _stack(pdf, "after"))
+                path = _best_states(logs, real, _stack(pdf, "scores"), moves, pdf["last"].to_numpy())
                 frame = pd.DataFrame(
                     {"pos": np.concatenate(pdf["positions"].to_list()), "raw": path[real], "posterior": list(post[real])}
                 )
@@ -214,15 +332,15 @@ def decode(points: DataFrame, params: DataFrame, keys: Sequence[str], dims: int)
                     frame[name] = value
                 yield frame[[*keys, "pos", "raw", "posterior"]]
 
-    seqs = sequences(points, keys).join(params.select(*keys, "start", "moves", "means", "spreads"), keys)
+    rows = _with_entries(staged(blocks(points, keys)), params, keys, dims)
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pos long, raw int, posterior array<double>"
-    return points.join(seqs.mapInPandas(kernel, schema), [*keys, "pos"])
+    return points.join(rows.mapInPandas(kernel, schema), [*keys, "pos"])
 
 
 def likelihoods(points: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     """Log-likelihood of the points per model, and the status text of the comparison."""
-    stats = expectation(sequences(points, keys), params.select(*keys, "start", "moves", "means", "spreads"), keys, dims)
+    stats = expectation(staged(blocks(points, keys)), params.select(*keys, "start", "moves", "means", "spreads"), keys, dims)
     value = F.col("sums")[0]
     text = F.concat(F.lit("available_fit_success log_likelihood="), F.format_string("%.2f", value))
     return stats.select(*keys, value.alias("log_likelihood"), text.alias("hmm_status"))

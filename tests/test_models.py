@@ -80,6 +80,23 @@ def test_hmm_improves_and_gives_probabilities(spark):
     assert np.allclose(np.stack(rows["posterior"].to_numpy()).sum(axis=1), 1.0)
 
 
+def test_hmm_does_not_depend_on_the_blocks(spark, monkeypatch):
+    _, points = cloud(spark)
+    centers = kmeans.fit(points, ["symbol"], 2, (0, 1), starts=1)
+    found = []
+    for rows in (10_000, 7):
+        monkeypatch.setattr(hmm, "BLOCK_ROWS", rows)
+        model = staged(hmm.fit(points, centers, ["symbol"], 2, max_iter=2))
+        decoded = hmm.decode(points, model, ["symbol"], 2).orderBy("symbol", "pos").toPandas()
+        found.append((model.orderBy("symbol").toPandas(), decoded))
+    (one, whole), (many, cut) = found
+    for column in ("start", "moves", "means", "spreads"):
+        assert np.allclose(np.stack(one[column].to_numpy()), np.stack(many[column].to_numpy()), atol=1e-8), column
+    assert np.allclose(one["log_likelihood"], many["log_likelihood"])
+    assert np.allclose(np.stack(whole["posterior"].to_numpy()), np.stack(cut["posterior"].to_numpy()), atol=1e-8)
+    assert (whole["raw"] == cut["raw"]).all()
+
+
 def test_logistic_fit_is_at_the_optimum(spark):
     bars = bars_frame(spark, rows=700, symbols=("AA",))
     rows = staged(classify.split_rows(bars))
