@@ -11,6 +11,7 @@ Blocks are written once; tasks that are run again read the same blocks and make
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ def packed(docs: DataFrame, block_bytes: int, column: str = "text") -> DataFrame
                     out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(a, b - a).columns], schema=batch.schema))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([off[b] - off[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=BLOCK)
                 number += 1
+            release_memory()
 
     return staged(docs.mapInArrow(run, "block bigint, n_bytes bigint, body binary"))
 
@@ -93,6 +95,15 @@ def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     return blocks
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks, next to the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def each_block(frame: DataFrame, work: Callable[[int, pa.RecordBatch, list[dict[int, bytes]]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """Run work(block, documents, answers of each round) on every block of with_answers()."""
     rounds = [c for c in frame.columns if c.startswith("answers")]
@@ -102,6 +113,7 @@ def each_block(frame: DataFrame, work: Callable[[int, pa.RecordBatch, list[dict[
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 yield from work(row["block"], opened(row["body"]), [{a["bucket"]: a["data"] for a in row[c] or []} for c in rounds])
+            release_memory()
 
     return frame.select("block", "body", *rounds).mapInArrow(run, schema)
 
@@ -112,7 +124,9 @@ def asked(frame: DataFrame, ask: Callable, decide: Callable[[list[bytes]], list[
     def answer(messages: pa.Table) -> pa.Table:
         order = np.argsort(messages.column("block").to_numpy(), kind="stable")
         messages = messages.take(pa.array(order))
-        return messages.set_column(2, "data", pa.array(decide(messages.column("data").to_pylist()), pa.binary()))
+        answers = decide(messages.column("data").to_pylist())
+        release_memory()
+        return messages.set_column(2, "data", pa.array(answers, pa.binary()))
 
     return staged(each_block(frame, ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(answer, MESSAGE_SQL))
 

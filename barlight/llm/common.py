@@ -155,10 +155,12 @@ class Words:
             return np.zeros(0, np.uint64)
         size = self.end - self.start
         begins = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(begins, size)
-        powers = np.cumprod(np.full(int(size.max()) + 1, GOLD, np.uint64))
-        total = np.add.reduceat(byte_table(seed)[self.raw[self.inside]] * powers[place], begins)
-        return mixed(total + size.astype(np.uint64))
+        place = np.arange(int(size.sum()), dtype=np.int32)
+        place -= np.repeat(begins.astype(np.int32), size)
+        values = np.cumprod(np.full(int(size.max()) + 1, GOLD, np.uint64))[place]
+        del place
+        values *= byte_table(seed)[self.raw[self.inside]]
+        return mixed(np.add.reduceat(values, begins) + size.astype(np.uint64))
 
     def whole(self, width: int) -> np.ndarray:
         """True where a run of `width` words that starts here lies within its document."""
