@@ -5,13 +5,15 @@ their union, so a document more than a fifth of whose shingles occur nowhere els
 
 1. Blocks ask which of their shingles occur in another document; for a half of the hash space this settles most documents.
 2. Equal sets become one class, represented by its smallest doc_id.
-3. Shingles of the representatives are ordered by frequency, globally. Representatives that share one of their rarest shingles (a
-   fifth of the set and one: linked ones must) are joined to groups; each group has all links of its members.
+3. Shingles of the representatives are ordered by frequency, globally. Of two linked sets the larger has a common shingle among its
+   rarest fifth and one, the smaller even among its rarest ninth and one. Representatives that share a shingle in this way are joined to
+   groups; each group has all links of its members.
 4. In a group the sets, most frequent shingles first, are put into a prefix tree one after the other. A set walks the tree
    once for all sets it holds: the overlap with a shared prefix is counted once, a subtree is left when overlap so far and what can still be
    shared don't reach the threshold, or when all its sets are known to be in the walker's component.
 5. A group too large for a task is dealt out in parts, each with the group's first set. Sets that didn't get into its
-   component then visit all parts; so all pairs that aren't in one component yet are met.
+   component then meet the sets with which they share a cell: one of those rare shingles, and a band of sizes. Small cells are put
+   together to tasks; a large cell is cut in blocks that meet in twos. No task holds more than a few times GROUP_SETS sets.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from barlight.llm.components import components
 from barlight.session import staged
 
 BLOCK_BYTES = 2_000_000
-GROUP_SETS = 1000  # representatives in one part of a group
+GROUP_SETS = 1000  # representatives in one part of a group or one block of a cell
+BAND = 1.3  # ratio of sizes in a band; more than that of linked sets, 1.25, so these are at most one band apart
 PERCENT = 80
 
 # Linked: 100 i >= 80 (a + b - i), that is 9 i >= 4 (a + b) for intersection i of sets of a and b.
@@ -118,7 +121,11 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ranked(reps: DataFrame) -> DataFrame:
-    """id, n, tokens in the global order (rarest first, those of one set only left out) and how many of them make the prefix."""
+    """id, n, tokens in the global order (rarest first, those of one set only left out) and how many of them make the prefix.
+
+    prefix is that towards sets as large or smaller, short_prefix that towards sets as large or larger: a ninth and one, as
+    9 i >= 4 (a + b) >= 8 a for the smaller size a.
+    """
     blocks = B.packed(reps, BLOCK_BYTES, "tokens")
     buckets = B.bucket_count(blocks)
 
@@ -139,21 +146,22 @@ def _ranked(reps: DataFrame) -> DataFrame:
         count = np.bincount(doc, minlength=len(n))
         ends = np.append(0, np.cumsum(count)).tolist()
         prefix = n - (PERCENT * n + 99) // 100 + 1 - (n - count)
+        short = n - (8 * n + 8) // 9 + 1 - (n - count)
         raw = keys.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(n), pa.array(np.clip(prefix, 0, count)), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["id", "n", "prefix", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(n), pa.array(np.clip(prefix, 0, count)), pa.array(np.clip(short, 0, count)), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["id", "n", "prefix", "short_prefix", "tokens"])
 
     answers = B.asked(blocks, ask, _frequency)
-    ranked = B.each_block(B.with_answers(blocks, answers), rank, "id bigint, n bigint, prefix bigint, tokens binary")
+    ranked = B.each_block(B.with_answers(blocks, answers), rank, "id bigint, n bigint, prefix bigint, short_prefix bigint, tokens binary")
     return staged(ranked.filter("prefix > 0"))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         off, tokens = _tokens(batch)
-        prefix = batch.column(1).to_numpy()
+        prefix, short = (batch.column(i).to_numpy() for i in (1, 2))
         row = np.repeat(np.arange(len(prefix)), prefix)
         place = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(tokens[off[:-1][row] + place].view(np.int64))], names=["id", "token"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(tokens[off[:-1][row] + place].view(np.int64)), pa.array(place < short[row])], names=["id", "token", "short"])
 
 
 class _Node:
@@ -253,8 +261,8 @@ LINKS = "id bigint, root bigint"
 def _joined(group: pa.Table) -> pa.Table:
     """Components within one part of a group: id and root of each of its sets.
 
-    `seen` is a component known before. Sets of round two that only visit (visitor) are put in last; visitors and
-    others of one component aren't compared.
+    `seen` is a component known before. In round two sets outside the group's first component (visitor) are put in last; sets
+    of one component aren't compared.
     """
     rows = group.select(["id", "n", "seen", "visitor", "tokens"]).to_pylist()
     rows.sort(key=lambda r: (r["visitor"], r["n"], r["id"]))
@@ -267,18 +275,51 @@ def _joined(group: pa.Table) -> pa.Table:
         tokens = np.frombuffer(r["tokens"], np.uint64)[::-1]  # most frequent first
         # Descending keys become ascending ones, as the searches want them.
         tokens = ~tokens
-        # In round two only visitors look for links; the others have met each other in round one.
+        # In round two only visitors look for links; the others are in one component.
         if r["seen"] is None or r["visitor"]:
             tree.link(x, tokens, r["n"])
         tree.add(x, tokens, r["n"])
     return pa.table([pa.array([r["id"] for r in rows], pa.int64()), pa.array([rows[tree.find(x)]["id"] for x in range(len(rows))], pa.int64())], names=["id", "root"])
 
 
+def _met(prefixes: DataFrame, split: DataFrame) -> DataFrame:
+    """task, id: which sets of `split` (grp, id, n, seen) meet in round two. Only ids move.
+
+    A cell is a token and a band of sizes. A set is in the cells of its prefix and its band; those of its short prefix may also be
+    the smaller partner of a set one band higher. Only pairs with such a set (short) and with a set outside
+    the group's first component (outside) can bring anything; cells without one, or of one component, go.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(BAND)))
+    rows = prefixes.join(split.select("grp", "id", "seen", band.alias("own")), "id")
+    rows = rows.withColumn("band", F.explode(F.when(F.col("short"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    rows = staged(rows.select("grp", "token", "band", "id", "seen", "short", (F.col("seen") != F.col("grp")).alias("outside")))
+    cells = rows.groupBy("grp", "token", "band").agg(F.count("*").alias("sets"), F.min("seen").alias("least"), F.max("seen").alias("most"), F.max("short").alias("joins"), F.sum(F.xxhash64("id", "short").cast("decimal(38,0)")).alias("who"))
+    cells = cells.filter("joins AND least <> most")
+    # Tokens that the same sets hold make one cell.
+    cells = cells.groupBy("grp", "band", "sets", "who").agg(F.min("token").alias("token"))
+    rows = staged(rows.join(cells.select("grp", "token", "band", "sets"), ["grp", "token", "band"]))
+    few = rows.filter(F.col("sets") <= GROUP_SETS)
+    bins = few.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_SETS).alias("bins"))
+    few = few.join(bins, "grp").select(F.struct("grp", F.pmod(F.xxhash64("token", "band"), "bins").alias("bin")).alias("task"), "id").distinct()
+    few = few.select(F.to_json("task").alias("task"), "id")
+    many = rows.filter(F.col("sets") > GROUP_SETS)
+    cell = ["token", "band"]
+    blocks = many.groupBy(*cell, "short", "outside").agg(F.ceil(F.count("*") / GROUP_SETS).alias("blocks"))
+    many = many.join(blocks, [*cell, "short", "outside"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    block = F.struct("short", "outside", "salt")
+    x, y = (blocks.select(*cell, block.alias(name)) for name in ("x", "y"))
+    pairs = x.join(y, cell).filter("x <= y AND (x.short OR y.short) AND (x.outside OR y.outside)")
+    pairs = pairs.select(*cell, F.to_json(F.struct(*cell, "x", "y")).alias("task"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    many = many.select(*cell, block.alias("block"), "id").join(pairs, [*cell, "block"]).select("task", "id")
+    return few.unionByName(many)
+
+
 def _links(ranked: DataFrame) -> DataFrame:
     """id, root of all representatives that link with another, as edges."""
-    prefixes = ranked.select("id", "prefix", "tokens").mapInArrow(_prefixes, "id bigint, token bigint")
+    prefixes = ranked.select("id", "prefix", "short_prefix", "tokens").mapInArrow(_prefixes, "id bigint, token bigint, short boolean")
     prefixes = staged(prefixes)
-    least = prefixes.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
+    least = prefixes.groupBy("token").agg(F.min(F.when(F.col("short"), F.col("id"))).alias("first"), F.count("*").alias("sets")).filter("sets > 1 AND first IS NOT NULL").drop("sets")
     groups = components(prefixes.join(least, "token").select(F.col("id").alias("a"), F.col("first").alias("b")))
     groups = staged(groups.withColumnRenamed("root", "grp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("sets")).withColumn("parts", F.ceil(F.col("sets") / GROUP_SETS)).drop("sets")
@@ -294,14 +335,11 @@ def _links(ranked: DataFrame) -> DataFrame:
     if split.isEmpty():
         return links
     known = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    split = staged(split.join(known, "id", "left").withColumn("seen", F.coalesce("root", "id")).drop("root"))
     # A group's first set is its smallest id, so its component's root is the group's number.
-    outside = split.filter("seen <> grp")
-    visits = outside.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("at <> part")
-    visited = visits.select("grp", F.col("at").alias("part")).distinct()
-    home = split.join(visited, ["grp", "part"], "left_semi").select("grp", "part", "id", "n", "tokens", "seen", F.lit(False).alias("visitor"))
-    visits = visits.select("grp", F.col("at").alias("part"), "id", "n", "tokens", "seen", F.lit(True).alias("visitor"))
-    more = home.unionByName(visits).groupBy("grp", "part").applyInArrow(_joined, LINKS)
+    split = staged(split.join(known, "id", "left").withColumn("seen", F.coalesce("root", "id")).select("grp", "id", "n", "tokens", "seen"))
+    met = staged(_met(prefixes, split))
+    visits = met.join(split.withColumn("visitor", F.col("seen") != F.col("grp")), "id")
+    more = visits.select("task", "id", "n", "tokens", "seen", "visitor").groupBy("task").applyInArrow(_joined, LINKS)
     return links.unionByName(staged(more))
 
 

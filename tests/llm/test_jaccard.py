@@ -74,6 +74,33 @@ def test_large_groups_in_parts(documents, monkeypatch, seed):
     assert answer(jaccard.near_duplicates(documents(rows, 3), 3)) == brute(rows, 3)
 
 
+@pytest.mark.parametrize("kind", ["template", "hub", "mixed", "bands"])
+def test_no_task_of_a_large_group_holds_it_whole(documents, monkeypatch, kind):
+    rng = random.Random(4)
+    rows = []
+    if kind in ("template", "hub"):  # pages share 85 of 100 words and none link; the hub links with those that share most
+        rows = [(i, " ".join([f"t{k}" for k in range(85)] + [f"own{i}x{k}" for k in range(15)])) for i in range(10, 70)]
+        if kind == "hub":
+            rows += [(5, " ".join(f"t{k}" for k in range(85))), (6, " ".join(f"t{k}" for k in range(70)))]
+    else:
+        words = [f"h{k}" for k in range(100)]
+        for i in range(10, 70):
+            n = 60 if kind == "mixed" else rng.randrange(10, 95)
+            rows.append((i, " ".join(rng.sample(words, n))))
+        rows += [(200 + i, t.rsplit(" ", 2)[0] + " near") for i, t in rows[::7]]
+    most = 40
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 4)
+    original = jaccard._joined
+
+    def bounded(group):
+        if group.num_rows > most:
+            raise ValueError(f"a task holds {group.num_rows} sets")
+        return original(group)
+
+    monkeypatch.setattr(jaccard, "_joined", bounded)
+    assert answer(jaccard.near_duplicates(documents(rows, 3), 1)) == brute(rows, 1)
+
+
 def test_threshold_is_exact(documents):
     words = [f"w{i}" for i in range(11)]
     rows = [(1, " ".join(words[:9])), (2, " ".join(words[:9] + ["x"])), (3, "a b c d"), (4, "a b c e")]
