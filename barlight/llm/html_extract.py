@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed to trees of elements and some of them aligned by simple tree matching: the largest set of pairs of
-nodes, in order and with equal names, below equal parents. Blocks of text that stay the same over the aligned pages are the host's
-template; slots whose text varies are content. The lowest element that holds nearly all varying text is the wrapper's
+Pages of a host are parsed to trees of elements and each is aligned by simple tree matching with a base page: the largest set of pairs
+of nodes, in order and with equal names, below equal parents. Blocks of text that a share of all pages of the host has in the matching
+place are its template; the rest is content. The lowest element that holds nearly all varying text is the wrapper's
 content region. Elements that by their name or role never are main text (menus, forms, scripts ...) are left out on any page.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from hashlib import blake2b
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,8 +36,8 @@ LEFT_OUT = RAW | set("head nav footer aside form button select template svg canv
 ROLES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notice|pagination|popup|promo\w*|recommended|related|search|share|sharing|sidebar|site-header|page-header|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[-_\s])", re.IGNORECASE)
 REGION = {"article", "main"}
 CONTAINERS = set("article body div main section td".split())
-SAMPLE = 5  # pages of a group that are aligned
-GROUP_PAGES = 48
+SHARE = 0.6  # of a host's pages have a template's block; three pages at least
+GROUP_PAGES = 48  # pages aligned with one base
 DEEPEST = 200
 
 
@@ -249,32 +250,100 @@ def main_text(root: Node, wrapper: Wrapper) -> str:
     return " ".join(t for a, t in blocks if (signature(a), t) not in wrapper.constant)
 
 
+class Keys(frozenset):
+    """Constant blocks of a host by hash."""
+
+    def __contains__(self, block: tuple[tuple[str, ...], str]) -> bool:
+        return super().__contains__(block_key(*block))
+
+
+def block_key(place: tuple[str, ...], text: str) -> int:
+    return int.from_bytes(blake2b("\0".join((*place, text)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+FOUND = pa.schema([("host", pa.string()), ("place", pa.string()), ("block", pa.int64()), ("page", pa.int64()), ("size", pa.int64()), ("matched", pa.bool_())])
+
+
+def found_blocks(group: pa.Table) -> pa.Table:
+    """The blocks of every page of a group, and whether they stand in an element that is matched with one of the base.
+
+    The base is the page with most blocks that other pages have too. `page` is the hash of the longest block of a page's own, so that
+    copies of an article count once.
+    """
+    group = group.sort_by([("order", "ascending"), ("page_id", "ascending")])
+    trees = [parsed(p) for p in dict.fromkeys(p for p in group.column("html").to_pylist() if p)]
+    read = [[(a, t, signature(a)) for a, t in blocks_of(tree)] for tree in trees]
+    keep = [i for i, blocks in enumerate(read) if blocks]
+    if not keep:
+        return FOUND.empty_table()
+    count = Counter(b for i in keep for b in {(s, t) for _, t, s in read[i]})
+    base = max(keep, key=lambda i: sum(count[b] - 1 for b in {(s, t) for _, t, s in read[i]}))
+    rows: dict[tuple[int, int], tuple] = {}
+    for i in keep:
+        pairs: dict[int, Node] = {}
+        matching(trees[i], trees[base], pairs)
+        own = [t for _, t, s in read[i] if len(keep) == 1 or count[s, t] < SHARE * len(keep)]
+        page = block_key((), max(own, key=len, default=""))
+        for around, text, place in read[i]:
+            key, matched = block_key(place, text), id(around[-1]) in pairs
+            if matched or (key, page) not in rows:
+                rows[key, page] = ("/".join(place), key, page, len(text), matched)
+    host = group.column("host")[0].as_py()
+    return pa.table([pa.array([host] * len(rows), pa.string()), *(pa.array(c) for c in zip(*rows.values(), strict=True))], schema=FOUND)
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """host, aligned (its distinct pages), constant (hashes of template blocks) and region of every host with three pages at least."""
+    found = staged(rows.filter("host <> ''").groupBy("host", "grp").applyInArrow(found_blocks, "host string, place string, block bigint, page bigint, size bigint, matched boolean"))
+    pages = staged(found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("aligned")).filter("aligned >= 3"))
+    # Copies in several groups count once. Sums are made before anything moves.
+    once = found.groupBy("host", "place", "block", "page").agg(F.max("matched").alias("matched"), F.max("size").alias("size"))
+    blocks = once.groupBy("host", "place", "block").agg(F.count_if("matched").alias("pages"), F.sum("size").alias("size"))
+    blocks = blocks.join(pages, "host").withColumn("constant", (F.col("pages") >= 3) & (F.col("pages") >= SHARE * F.col("aligned")))
+    # One row for each host and place: what is constant there and how much isn't.
+    places = staged(blocks.groupBy("host", "place").agg(F.sum("size").alias("size"), F.sum(F.when(~F.col("constant"), F.col("size")).otherwise(0)).alias("own"), F.collect_list(F.when(F.col("constant"), F.col("block"))).alias("constant")))
+    hosts = places.groupBy("host").agg(F.sum("size").alias("size"), F.sum("own").alias("total"), F.flatten(F.collect_list("constant")).alias("constant"))
+    # Where most text is constant it is rather a copied passage than a template.
+    hosts = staged(hosts.filter("2 * total >= size").join(pages, "host").select("host", "aligned", "total", "constant"))
+    path = F.split("place", "/")
+    above = places.select("host", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, 1, n))).alias("region"))
+    mass = above.groupBy("host", "region").agg(F.sum("own").alias("own")).join(hosts.select("host", "total"), "host")
+    sure = mass.filter(F.col("own") >= 0.98 * F.col("total")).filter(F.element_at("region", -1).isin(*CONTAINERS))
+    region = sure.groupBy("host").agg(F.max(F.struct(F.size("region").alias("depth"), "region"))["region"].alias("region"))
+    return staged(hosts.join(region, "host", "left").select("host", F.col("aligned").cast("int").alias("aligned"), "constant", "region"))
+
+
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("aligned", pa.int32())])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page, and how many pages its wrapper was induced from.
+    """page_id, url, text of every page, and how many pages its host's wrapper was induced from.
 
-    Hosts are dealt out in groups of about GROUP_PAGES pages; a group induces its wrapper from the SAMPLE pages with the
-    smallest hash, then reads all its pages. Pages whose url is null or names no host form a group of their own kind without a
+    Hosts are dealt out in groups of about GROUP_PAGES pages; a group aligns all its pages with its base, the blocks found are
+    counted over the whole host, and every page of the host is read with one wrapper. Pages whose url is null or names no host have no
     wrapper. Null html is empty, and an empty page has an empty text. Rows that repeat are read each; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    rows = rows.withColumn("order", F.xxhash64("page_id", "url"))
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    rows = given.withColumn("order", F.xxhash64("page_id", "url"))
     # One row for each host, written first: the planner broadcasts it only if it is small, else shuffles both sides.
     sizes = staged(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")))
     rows = rows.join(sizes, "host")
-    rows = rows.withColumn("grp", F.pmod("order", F.col("groups"))).select("host", "grp", "order", "page_id", "url", "html")
-
-    def read(group: pa.Table) -> pa.Table:
-        named = bool(group.column("host")[0].as_py())
-        group = group.sort_by([("order", "ascending"), ("page_id", "ascending")])
-        ids, urls, pages = (group.column(c).to_pylist() for c in ("page_id", "url", "html"))
-        wrapper, aligned = Wrapper(), 0
-        if named:
-            sample = [parsed(p) for p in list(dict.fromkeys(p for p in pages if p))[:SAMPLE]]
-            wrapper, aligned = induced(sample), len(sample)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([main_text(parsed(p or ""), wrapper) for p in pages], pa.string()), pa.array([aligned] * len(ids), pa.int32())], schema=EXTRACTED)
-
-    return rows.groupBy("host", "grp").applyInArrow(read, "page_id bigint, url string, text string, aligned int")
+    rows = rows.withColumn("grp", F.pmod("order", F.col("groups"))).select("host", "grp", "order", "page_id", "html")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Wrapper] = {}
+        for batch in batches:
+            texts = []
+            hosts, constant, region, bodies = (batch.column(batch.schema.get_field_index(c)) for c in ("host", "constant", "region", "html"))
+            for i in range(batch.num_rows):
+                name = hosts[i].as_py()
+                if name not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[name] = Wrapper(Keys(constant[i].as_py() or ()), tuple(region[i].as_py() or ()) or None)
+                texts.append(main_text(parsed(bodies[i].as_py() or ""), known[name]))
+            aligned = batch.column(batch.schema.get_field_index("aligned")).fill_null(0)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string()), aligned], schema=EXTRACTED)
+
+    return given.join(wrappers(rows), "host", "left").select("page_id", "url", "html", "host", "aligned", "constant", "region").mapInArrow(read, "page_id bigint, url string, text string, aligned int")

@@ -60,6 +60,19 @@ def test_extract(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_template_is_that_of_the_whole_host(spark):
+    def page(i):
+        notice = "<p>Our office is closed on Sunday.</p>" if i % 5 else ""
+        passage = "<p>A passage that some quote.</p>" if i % 5 < 2 else ""
+        return f"<html><body><div><div><h1>Title {i}</h1><p>{'Body ' * (i % 17 + 9)}{i}.</p>{passage}</div><div><p>All rights kept.</p>{notice}</div></div></body></html>"
+
+    rows = [(i, f"https://host.example/{i}", page(i)) for i in range(200)]
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    for i, _, _ in rows:
+        passage = " A passage that some quote." if i % 5 < 2 else ""
+        assert got[i].text == f"Title {i} {'Body ' * (i % 17 + 9)}{i}.{passage}" and got[i].aligned == 200
+
+
 def test_query_on_the_table(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op6_wrapper_induction(spark, sf).collect()
