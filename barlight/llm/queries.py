@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import chat, html_extract, jaccard, mixing, packing, phrases, suffixes, topk, toxicity, winnowing
+from barlight.llm import chat, html_extract, jaccard, mixing, packing, phrases, repair, suffixes, topk, toxicity, winnowing
 from barlight.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -64,4 +64,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op3_source_mixing, op4_suffix_buckets, op5_toxicity, op6_wrapper_induction, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op3_source_mixing, op4_suffix_buckets, op5_toxicity, op6_wrapper_induction, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing, op13_conversation_repair)}

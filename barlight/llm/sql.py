@@ -43,9 +43,56 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 5"""
 
+def _repair_sql() -> str:
+    """A weight is six digits of cost and the audit, so the least string is the least weight; one step of the recursion is one row."""
+
+    def plus(w: str, cost: str, letter: str) -> str:
+        return f"CASE WHEN {w} IS NOT NULL THEN lpad(CAST(CAST(left({w}, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({w}, 7) || '{letter}' END"
+
+    def least(when: str, letter: str, cost: str, *states: str) -> list[str]:
+        return [f"CASE WHEN {when} THEN {plus(w, cost, letter)} END" for w in states]
+
+    stays = "fault NOT IN ('blank', 'duplicate')"
+    unfinished = "(CASE fault WHEN 'truncated' THEN 5 ELSE 0 END)"
+    keep = {c: f"{stays} AND left(role, 1) = '{c}'" for c in "sua"}
+    rerole = least(stays, "R", f"1 + {unfinished}", "z", "s", "a"), least(stays, "R", f"1 + {unfinished}", "u")
+    step = {
+        "z": [plus("z", "2", "D")],
+        "s": [plus("s", "2", "D"), *least(keep["s"], "K", unfinished, "z")],
+        "u": [plus("u", "2", "D"), *least(keep["u"], "K", unfinished, "z", "s", "a"), *rerole[0]],
+        "a": [plus("a", "2", "D"), *least(keep["a"], "K", unfinished, "u"), *rerole[1]],
+    }
+    rows = ", ".join(f"least({', '.join(v)}, NULL) AS {k}" for k, v in step.items())
+    insert_u = ", ".join(plus(w, "5", "I") for w in "zsa")
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+    return rf"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT *, {crc} % 20 AS kind FROM o),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+e AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again,
+right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM e),
+f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM g),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000' AS z, CAST(NULL AS VARCHAR) AS s, '000005I' AS u, '000010II' AS a FROM conversations
+UNION ALL SELECT conv_id, i, z, s, u, least(a, {plus("u", "5", "I")}) AS a FROM (
+SELECT conv_id, i, z, s, least(u, {insert_u}) AS u, a FROM (
+SELECT w.conv_id, f.i, {rows} FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1) x) y),
+c AS (SELECT h.conv_id, count(f.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT DISTINCT conv_id FROM conversations) h LEFT JOIN f ON h.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY h.conv_id),
+b AS (SELECT c.*, least(w.z, w.a) AS best FROM c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i),
+l AS (SELECT conv_id, unnest(string_split(substr(best, 7), '')) AS letter, unnest(range(1, length(best) - 5)) AS j FROM b),
+p AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS row, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS place FROM l),
+q AS (SELECT p.conv_id, p.j, p.letter, place, f.role, coalesce(f.text, '') AS text, max(CASE WHEN place = 1 AND letter = 'K' AND left(f.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS system
+FROM p LEFT JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.letter <> 'I' AND f.i = p.row WHERE letter <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS lines FROM q GROUP BY conv_id)
+SELECT b.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM b LEFT JOIN t ON b.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_repeated_phrases": OP2,
     "op7_prefix_tree_join": OP7,
     "op8_chat_formatting": OP8,
     "op9_exact_top_k": OP9,
+    "op13_conversation_repair": _repair_sql(),
 }
