@@ -128,14 +128,14 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of some texts, as byte spans and 64-bit hashes."""
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts, or runs of the bytes marked in a table of 256, as byte spans and 64-bit hashes."""
 
-    def __init__(self, off: np.ndarray, raw: np.ndarray, fold_case: bool = False):
+    def __init__(self, off: np.ndarray, raw: np.ndarray, fold_case: bool = False, word_bytes: np.ndarray | None = None):
         if fold_case:
             upper = (raw >= 65) & (raw <= 90)
             raw = np.where(upper, raw + 32, raw).astype(np.uint8)
         self.raw = raw
-        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13))) if word_bytes is None else word_bytes[raw]
         n = len(raw)
         first, last = np.ones(n, bool), np.ones(n, bool)
         first[1:] = ~inside[:-1]

@@ -42,6 +42,19 @@ WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, l
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 5"""
+ITEM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12 = f"""WITH i AS (SELECT item_id, {ITEM_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda j: array_to_string(w[j:j + 9], ' '))) AS k FROM i WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, {ITEM_WORDS} AS w FROM documents),
+j AS (SELECT r, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS j FROM d),
+s AS (SELECT r, j, m, array_to_string(w[j:j + m - 1], ' ') AS k FROM j, (SELECT DISTINCT m FROM p) l WHERE j + m - 1 <= n),
+h AS (SELECT DISTINCT s.r, s.j, s.m, s.k FROM s WHERE k IN (SELECT k FROM p)),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(j, j + m)) AS x FROM h) y GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT h.r, CAST(p.item_id AS VARCHAR) AS item FROM h JOIN p USING (m, k) WHERE p.item_id IS NOT NULL) z GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
 
 def _repair_sql() -> str:
     """A weight is six digits of cost and the audit, so the least string is the least weight; one step of the recursion is one row."""
@@ -94,5 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_prefix_tree_join": OP7,
     "op8_chat_formatting": OP8,
     "op9_exact_top_k": OP9,
+    "op12_wu_manber_decontamination": OP12,
     "op13_conversation_repair": _repair_sql(),
 }
