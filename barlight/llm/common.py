@@ -167,5 +167,19 @@ class Words:
         return np.arange(len(self.start)) + width <= self.last[self.doc] if len(self.start) else np.zeros(0, bool)
 
 
+def joined_words(w: Words, stays: np.ndarray) -> pa.Array:
+    """The marked words of each text, joined by one space."""
+    size, doc = (w.end - w.start)[stays], w.doc[stays]
+    lead = np.append(False, doc[1:] == doc[:-1])[: len(doc)]
+    total = size + lead
+    begin = np.cumsum(total) - size
+    out = np.full(int(total.sum()), 32, np.uint8)
+    filled = np.ones(len(out), bool)
+    filled[(begin - 1)[lead]] = False
+    out[filled] = w.raw[w.inside][np.repeat(stays, w.end - w.start)]
+    ends = np.append(0, np.cumsum(np.bincount(doc, weights=total, minlength=len(w.count)))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(w.count), pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes()))
+
+
 def spark_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)

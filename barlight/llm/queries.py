@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import chat, decontaminate, html_extract, jaccard, mixing, packing, phrases, repair, suffixes, topk, toxicity, winnowing
+from barlight.llm import chat, decontaminate, html_extract, jaccard, mixing, packing, periodic, phrases, repair, suffixes, topk, toxicity, winnowing
 from barlight.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -64,6 +64,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents")))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("least"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.least")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("(-1000 * top.least) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["length"])
@@ -75,4 +91,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op3_source_mixing, op4_suffix_buckets, op5_toxicity, op6_wrapper_induction, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing, op12_wu_manber_decontamination, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_repeated_phrases, op3_source_mixing, op4_suffix_buckets, op5_toxicity, op6_wrapper_induction, op7_prefix_tree_join, op8_chat_formatting, op9_exact_top_k, op10_packing, op11_periodic_runs, op12_wu_manber_decontamination, op13_conversation_repair)}
