@@ -11,7 +11,6 @@ from barlight.llm import packing
 
 def reference():
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     return lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
 
 
@@ -25,6 +24,22 @@ def test_ids_equal_the_tokenizers(text):
     assert np.frombuffer(LOOKUP(text), "<u4").tolist() == ENCODE(text)[:-1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "a", "\n", "<|", "é", " " * 1500, "\t" * 1001, "\u2003" * 1000 + "x", "\x1f" * 1200]), max_size=8))
+def test_added_tokens_and_long_space(parts):
+    assert np.frombuffer(LOOKUP("".join(parts)), "<u4").tolist() == ENCODE("".join(parts))[:-1]
+
+
+def test_added_token_has_its_id():
+    assert np.frombuffer(LOOKUP("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_very_long_runs():
+    for run in (" ", "\t", "\n", "a", "\u3000"):
+        for text in (run * 1_000_000, run * 1_000_000 + "x", "x" + run * 1_000_000 + " x"):
+            assert np.frombuffer(LOOKUP(text), "<u4").tolist() == ENCODE(text)[:-1]
+
+
 def check(rows, pieces, length):
     left = {}
     for i, t in rows:
@@ -48,7 +63,7 @@ def check(rows, pieces, length):
 def test_pieces_hold_every_id_once(documents):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["word", "été", "x", "\n", "longerword"]) for _ in range(rng.randrange(90)))) for i in range(70)]
-    rows += [(100, None), (101, ""), (102, "same"), (102, "same"), (None, "no id"), (103, "y " * 3000), (104, "<|endoftext|>")]
+    rows += [(100, None), (101, ""), (102, "same"), (102, "same"), (None, "no id"), (103, "y " * 3000), (104, "<|endoftext|>"), (105, "a <|endoftext|> b"), (106, " " * 1_000_000 + "x")]
     check(rows, packing.pack(documents(rows), length=64).collect(), 64)
     check(rows, packing.pack(documents(rows, 1)).collect(), 2048)
 
