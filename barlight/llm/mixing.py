@@ -3,7 +3,7 @@
 All of it is DataFrame expressions. Counts of characters of some classes describe a text; a labelled table teaches how often each value
 comes with each domain, which gives every document a posterior over the domains (naive Bayes). A document of n tokens and
 posterior p adds n p to the domains' expected tokens. Rates r >= `least_rate` minimise the distance of their sum to the targets by
-projected gradient steps: an aggregate of one number for each domain, then one expression on each row.
+projected gradient steps, each an aggregate of some numbers for each pair of domains, and end as one expression on each row.
 """
 
 from __future__ import annotations
@@ -86,65 +86,76 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total_tokens: float | None = None, least_rate: float = 0.0, tolerance: float = 1e-4, least_gain: float = 1e-3, most_steps: int = 60, cut_every: int = 12) -> DataFrame:
-    """doc_id, n_tokens, p (posterior by domain), rate, copies (whole repeats whose expectation is the rate).
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total_tokens: float | None = None, least_rate: float = 0.0, ridge: float = 1e-6, tolerance: float = 1e-6, most_steps: int = 100) -> DataFrame:
+    """doc_id, n_tokens, p (posterior by domain), rate, copies (whole repeats whose expectation is the rate), off_target.
 
     targets: weight of each domain, equal ones by default; domains it doesn't name get 0, names without labelled rows are an error.
-    total_tokens: the budget; by default the least with which no domain has to shrink. Gradients are scaled by the inverse Gram
-    matrix of the domains over the documents that aren't at the bound, so a step of 1 is about right whatever the sizes of documents. Steps end at the
-    tolerance (of the budget, in each domain), or where one shortens the distance slowly and by less than least_gain of the first distance. Documents without words have rate 1. Rows that repeat are rated each alike; a row without doc_id is rated too.
+    total_tokens: the budget; by default the least with which no domain has to shrink. Rates minimise the squared distance of the expected
+    totals to the targets, plus a small ridge (as a part of the largest eigenvalue of the domains' Gram matrix) on squared changes of rates, which chooses among
+    equally good rates the ones nearest to 1. Where the bound keeps targets from being met, off_target tells by domain how
+    far the totals end above or below them, as a part of the budget; it is the same in all rows. Documents without words have rate 1 (or least_rate, if that is more).
+    Rows that repeat are rated each alike; a row without doc_id is rated too.
+
+    Steps are projected gradients, projected late: documents of posterior p have the rate max(least_rate, 1 - p s), where s sums up all steps so
+    far. A step is the gradient of the objective in s, scaled by the Gram matrix of the documents above the bound, and is halved until the
+    objective falls enough; steps end where the gradient is within tolerance of the budget. Each is one aggregate over a table of one row for each posterior.
     """
     features, domains = posteriors(staged(described(docs)), labelled)
     k = len(domains)
     targets = targets if targets is not None else dict.fromkeys(domains, 1.0)
     if unknown := set(targets) - set(domains):
         raise ValueError(f"no labelled rows of {sorted(unknown)}")
-    state = staged(features.select("doc_id", "n_tokens", "p", F.lit(1.0).alias("rate")))
-    a = [F.col("n_tokens") * F.col("p")[i] for i in range(k)]
+    bins = [c for c in features.columns if c.startswith("b_")]
+    # Equal bins have equal posteriors, and equal posteriors equal rates, whatever the sizes of documents.
+    groups = staged(features.groupBy(*bins).agg(F.sum("n_tokens").cast("double").alias("mass"), F.first("p").alias("p")).select("mass", "p"))
     weight = [max(0.0, targets.get(d, 0.0)) / max(sum(targets.values()), 1e-300) for d in domains]
-    # A step is one vector; rates are recomputed from the steps since they were last written.
-    steps: list[list[float]] = []
-
-    def rates() -> Column:
-        if not steps:
-            return F.col("rate")
-        path = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-        return F.aggregate(path, F.col("rate"), lambda r, s: F.greatest(F.lit(float(least_rate)), r - sum((F.col("n_tokens") * F.col("p")[i] * s[i] for i in range(1, k)), F.col("n_tokens") * F.col("p")[0] * s[0])))
-
-    def looked(all_free: bool = False) -> tuple[list[float], list[list[float]]]:
-        """Expected totals, and the Gram matrix of the documents whose rate is above the bound."""
-        free = F.lit(1.0) if all_free else F.when(F.col("r") > least_rate, 1.0).otherwise(0.0)
-        rows = state.select("n_tokens", "p", rates().alias("r")).select("r", free.alias("free"), *(a[i].alias(f"a{i}") for i in range(k)))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = rows.agg(*(F.sum(F.col("r") * F.col(f"a{i}")).alias(f"t{i}") for i in range(k)), *(F.sum(F.col("free") * F.col(f"a{i}") * F.col(f"a{j}")).alias(f"g{i}_{j}") for i, j in pairs)).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def change(s: list[float]) -> Column:
+        return -sum((F.col("p")[i] * s[i] for i in range(1, k)), F.col("p")[0] * s[0])
+
+    def looked(s: list[float], all_free: bool = False) -> tuple[float, list[float], list[list[float]]]:
+        """Sum of the rates' potentials (whose derivative is the rate), expected totals, Gram matrix of what is above the bound."""
+        u, edge = F.col("u"), least_rate - 1.0
+        rows = groups.select("mass", "p", change(s).alias("u")).withColumn("free", (u > edge) | F.lit(all_free))
+        potential = F.when(u > edge, u + u * u / 2).otherwise(least_rate * (u - edge) + edge + edge * edge / 2)
+        rate = F.greatest(F.lit(float(least_rate)), 1 + u)
+        free = F.when(F.col("free"), F.col("mass")).otherwise(0.0)
+        sums = [F.sum(F.col("mass") * potential).alias("v"), *(F.sum(F.col("mass") * rate * F.col("p")[i]).alias(f"t{i}") for i in range(k)), *(F.sum(free * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs)]
+        row = rows.agg(*sums).first()
         gram = [[float(row[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]
-        return [float(row[f"t{i}"] or 0) for i in range(k)], gram
+        return float(row["v"] or 0), [float(row[f"t{i}"] or 0) for i in range(k)], gram
 
-    now, gram = looked(all_free=True)
+    s = [0.0] * k
+    potential, now, gram = looked(s, all_free=True)
     if total_tokens is None:
         total_tokens = max((t / w for t, w in zip(now, weight, strict=True) if w > 0), default=0.0)
     goal = [w * total_tokens for w in weight]
-    metric, before, start = gram, math.inf, 0.0
+    hold = ridge * max(sum(map(abs, row)) for row in gram)  # the largest row sum is at least the largest eigenvalue
+
+    def objective(potential: float, s: list[float]) -> float:
+        return potential + sum(g * x for g, x in zip(goal, s, strict=True)) + hold / 2 * sum(x * x for x in s)
+
+    value = objective(potential, s)
     for _ in range(most_steps if total_tokens else 0):
-        off = [t - g for t, g in zip(now, goal, strict=True)]
-        # The squared distance in the metric of all documents; a step that doesn't shorten it is halved.
-        distance = sum(x * y for x, y in zip(off, solved(metric, off), strict=True))
-        if distance > before:
-            steps[-1] = [x / 2 for x in steps[-1]]
-        elif max(map(abs, off)) <= tolerance * total_tokens or (distance > 0.5 * before and before - distance < least_gain * start):
+        gradient = [g - t + hold * x for g, t, x in zip(goal, now, s, strict=True)]
+        if max(map(abs, gradient)) <= tolerance * total_tokens:
             break
-        else:
-            before, start = distance, start or distance
-            if len(steps) >= cut_every:
-                state = staged(state.select("doc_id", "n_tokens", "p", rates().alias("rate")))
-                steps.clear()
-            # A part of the whole matrix keeps steps finite where nearly all documents are at the bound.
-            steps.append(solved([[x + 0.05 * y for x, y in zip(r, m, strict=True)] for r, m in zip(gram, metric, strict=True)], off))
-        now, gram = looked()
-    rated = state.select("doc_id", "n_tokens", "p", rates().alias("rate"))
-    rated = rated.withColumn("p", F.map_from_arrays(F.array(*map(F.lit, domains)), "p"))
+        step = solved([[x + hold * (i == j) for j, x in enumerate(row)] for i, row in enumerate(gram)], gradient)
+        slope, size = sum(x * y for x, y in zip(step, gradient, strict=True)), 1.0
+        while True:
+            further = [x - size * y for x, y in zip(s, step, strict=True)]
+            potential, totals, at = looked(further)
+            if objective(potential, further) <= value - 1e-4 * size * slope or size < 1e-6:
+                break
+            size /= 2
+        s, now, gram, value = further, totals, at, objective(potential, further)
+    off = [(t - g) / total_tokens if total_tokens else 0.0 for t, g in zip(now, goal, strict=True)]
+    rate = F.greatest(F.lit(float(least_rate)), 1 + F.when(F.col("n_tokens") > 0, change(s)).otherwise(0.0))
+    names = F.array(*map(F.lit, domains))
+    rated = features.select("doc_id", "n_tokens", F.map_from_arrays(names, "p").alias("p"), rate.alias("rate"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", F.floor(F.col("rate") + draw))
+    return rated.withColumn("copies", F.floor(F.col("rate") + draw)).withColumn("off_target", F.map_from_arrays(names, F.array(*map(F.lit, off))))
 
 
 def repeated(docs: DataFrame, rated: DataFrame) -> DataFrame:

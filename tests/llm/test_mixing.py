@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from barlight.llm import mixing, queries
@@ -74,6 +75,39 @@ def test_bounds_and_given_budget(spark, documents):
     assert all(r.rate >= 1 and r.copies >= 1 for r in kept)
 
 
+def least_squares(a, goal, least, steps=60_000):
+    """Non-negative least squares by plain projected gradients on every document, accelerated; slow and simple."""
+    size = 1 / np.linalg.eigvalsh(a.T @ a).max()
+    rate = ahead = np.maximum(least, np.ones(len(a)))
+    pace = 1.0
+    for _ in range(steps):
+        after = np.maximum(least, ahead - size * (a @ (a.T @ ahead - goal)))
+        if ((ahead - after) * (after - rate)).sum() > 0:
+            pace = 1.0
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, rate, pace = after + (pace - 1) / faster * (after - rate), after, faster
+    return ((a.T @ rate - goal) ** 2).sum()
+
+
+@pytest.mark.parametrize(("seed", "least", "weights", "total"), [(3, 1.0, {"a": 1.0, "b": 1.0, "c": 1.0}, None), (4, 1.0, {"a": 6.0, "b": 1.0, "c": 2.0}, None), (5, 0.5, {"a": 1.0, "b": 4.0}, 1500.0), (6, 0.0, {"a": 1.0, "c": 9.0}, 3000.0)])
+def test_rates_are_the_constrained_optimum(spark, documents, seed, least, weights, total):
+    rows, domain_of = corpus(random.Random(seed))
+    labelled = spark.createDataFrame(list(domain_of.items()), "doc_id bigint, domain string")
+    got = [r for r in mixing.mix(documents(rows), labelled, weights, total, least_rate=least).collect() if r.n_tokens]
+    a = np.array([[r.n_tokens * r.p[d] for d in "abc"] for r in got])
+    rate = np.array([r.rate for r in got])
+    share = np.array([weights.get(d, 0.0) for d in "abc"]) / sum(weights.values())
+    total = total or max(t / w for t, w in zip(a.sum(axis=0), share, strict=True) if w)
+    goal = share * total
+    off = a.T @ rate - goal
+    assert off / total == pytest.approx([got[0].off_target[d] for d in "abc"], abs=1e-9)
+    # The distance is that of a brute-force fit, and no rate can move without making it longer.
+    assert math.sqrt((off**2).sum()) <= math.sqrt(least_squares(a, goal, least)) + 2e-3 * total
+    p = np.array([[r.p[d] for d in "abc"] for r in got])
+    pull = p @ off / np.linalg.eigvalsh((a.T / a.sum(axis=1)) @ a).max()
+    assert (np.where(rate > least + 1e-12, np.abs(pull), np.maximum(0, -pull)) <= 1e-5 * (1 + np.abs(rate))).all()
+
+
 def test_no_labels_no_documents(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, domain string")
     assert {(r.rate, r.copies) for r in mixing.mix(documents([(1, "a b"), (1, "a b"), (None, "c")]), none).collect()} == {(1.0, 1)}
