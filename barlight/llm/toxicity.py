@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlight.llm.blocks import release_memory
+
 TOKEN = re.compile(r'[^\W_]+|["“”„«»‘’‹›]')
 OPENING, CLOSING = set("“„«‘‹"), set("”“»’›")  # “ closes what „ opened
 MARKS = OPENING | CLOSING
@@ -28,7 +30,7 @@ MARKS = OPENING | CLOSING
 REPORTING = {"said", "says", "wrote", "writes", "called", "quote", "quoted", "quoting", "sagte", "sagt", "schrieb", "nannte", "zitat", "dit", "écrit", "appelé", "citation", "dijo", "dice", "escribió", "llamó", "cita"}
 CONTEXT = 8  # tokens on each side
 STEMS = range(4, 8)  # lengths of stems that are tried
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000  # kept by a task, with what was found for them
 
 
 def edits_allowed(term: str) -> int:
@@ -154,6 +156,11 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
 
+    def forget(self) -> None:
+        """Give back what a task has gathered: workers live on."""
+        self._automaton = None
+        release_memory()
+
     def hits(self, text: str | None) -> tuple[list[tuple[str, str, int, float]], int]:
         """Word, term, edits and quotation score of every hit; the number of tokens."""
         tokens = TOKEN.findall((text or "").lower())
@@ -312,8 +319,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found, n = model.hits(text)
                 scores.append(model.score(found, n))
                 hits.append([{"word": w, "term": t, "edits": e, "quotation": q} for w, t, e, q in found])
+            release_memory()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(hits, SCORED.field("hits").type)], schema=SCORED)
 
+        model.forget()
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, hits array<struct<word:string,term:string,edits:int,quotation:double>>")
 
 
@@ -325,6 +335,8 @@ def kept_rows(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = [model.score(*model.hits(t)) < threshold for t in batch.column(at).to_pylist()]
+            release_memory()
             yield batch.filter(pa.array(clean, pa.bool_()))
+        model.forget()
 
     return docs.mapInArrow(run, schema)
