@@ -1,26 +1,22 @@
-"""Learned signals: next-bar direction classifiers per symbol, fitted by Spark ML.
+"""Learned signals: next-bar direction classifiers per symbol.
 
-Train rows per symbol are thinned to at most ``max_train_rows`` (a rule of the method),
-so one fit is small; the symbols' fits run side by side. Scores are written as they are
-made and read back as one table.
+Symbols are keys: all of them are fitted together and scored together, none by a loop of the driver. Train rows per
+symbol are thinned to at most ``max_train_rows`` (a rule of the method).
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlight.operators import logistic, trees
 from barlight.operators.features import CLASSIFIER_COLUMNS, classifier_features
 from barlight.operators.ordered import evenly_spaced, with_ordinal
 from barlight.schema import TINY
-from barlight.session import shared_folder, sized, staged
+from barlight.session import sized, staged
 
 LEARNED = ["ml_rf", "ml_logreg", "ml_gbrt"]
 SEED = 181
@@ -72,55 +68,27 @@ def with_points(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def estimator(name: str, train_rows: int):
-    """The three classifiers with their fixed settings.
+def fit_logistic(points: DataFrame) -> DataFrame:
+    """symbol, beta and the largest entry of the gradient: balanced classes, unit penalty on the summed loss, scaled inputs."""
+    train = points.where("part = 'train'").select("symbol", F.col("scaled").alias("x"), "label", "weight")
+    return logistic.fit(train, ["symbol"], len(CLASSIFIER_COLUMNS))
 
-    Balanced weights sum to the number of rows, so a penalty of 1 / rows on the mean loss
-    is the unit penalty on the summed loss.
-    """
-    if name == "ml_rf":
-        return RandomForestClassifier(
-            numTrees=80, maxDepth=6, minInstancesPerNode=50, featureSubsetStrategy="sqrt", seed=SEED
-        )
-    if name == "ml_logreg":
-        return LogisticRegression(
-            weightCol="weight", regParam=1.0 / train_rows, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-9
-        )
-    if name == "ml_gbrt":
-        return GBTClassifier(maxIter=80, maxDepth=2, stepSize=0.05, seed=SEED)
-    raise ValueError(f"unknown classifier {name!r}")
-
-
-def vectors(rows: DataFrame, name: str) -> DataFrame:
-    return rows.withColumn("features", array_to_vector("scaled" if name == "ml_logreg" else "raw"))
-
-
-def fit(points: DataFrame, symbol: str, name: str, train_rows: int) -> Model:
-    train = vectors(points.where((F.col("symbol") == symbol) & (F.col("part") == "train")), name)
-    return estimator(name, train_rows).fit(train)
-
-
-def probabilities(points: DataFrame, symbols: DataFrame, models: Sequence[str] = tuple(LEARNED), parallel: int = 4) -> DataFrame:
-    """Chance of an up move on every test row, per symbol and model."""
-    spark = points.sparkSession
-    folder = f"{shared_folder(spark)}/scores/{uuid.uuid4().hex}"
-    sizes = [(r["symbol"], r["train_rows"]) for r in symbols.select("symbol", "train_rows").collect()]
-    schema = "symbol string, idx long, date timestamp_ntz, up double, model string"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-
-    def run(task: tuple[str, int, str, int]) -> None:
-        symbol, rows, name, number = task
-        test = vectors(points.where((F.col("symbol") == symbol) & (F.col("part") == "test")), name)
-        scored = fit(points, symbol, name, rows).transform(test)
-        up = vector_to_array("probability")[1]
-        out = scored.select("symbol", "idx", "date", up.alias("up"), F.lit(name).alias("model"))
-        out.write.mode("overwrite").parquet(f"{folder}/part={number}")
-
-    tasks = [(s, n, m, i * len(models) + j) for i, (s, n) in enumerate(sizes) for j, m in enumerate(models)]
-    with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(run, tasks))
-    return spark.read.parquet(folder).select("symbol", "idx", "date", "up", "model")
+
+def probabilities(points: DataFrame, models: Sequence[str] = tuple(LEARNED)) -> DataFrame:
+    """Chance of an up move on every test row, per symbol and model; ``points`` should be a written table."""
+    if unknown := set(models) - set(LEARNED):
+        raise ValueError(f"unknown classifiers {sorted(unknown)}")
+    test = points.where("part = 'test'")
+    made = []
+    grown = [m for m in models if m != "ml_logreg"]
+    if grown:
+        fitted = trees.fit(points.where("part = 'train'"), grown, SEED)
+        made.append(trees.scored(test, staged(fitted)))
+    if "ml_logreg" in models:
+        scored = test.join(fit_logistic(points), "symbol")
+        up = 1 / (1 + F.exp(-logistic.margin(F.col("scaled"), F.col("beta"), len(CLASSIFIER_COLUMNS))))
+        made.append(scored.select("symbol", "idx", "date", up.alias("up"), F.lit("ml_logreg").alias("model")))
+    return reduce(DataFrame.unionByName, made)
 
 
 def signal_from(up: Column) -> Column:
@@ -128,12 +96,11 @@ def signal_from(up: Column) -> Column:
     return F.when(up > 0.55, 1.0).when(up < 0.45, -1.0).otherwise(0.0)
 
 
-def learned_signals(bars: DataFrame, models: Sequence[str] = tuple(LEARNED), parallel: int = 4, **split) -> DataFrame:
+def learned_signals(bars: DataFrame, models: Sequence[str] = tuple(LEARNED), **split) -> DataFrame:
     """One column per classifier; bars that were not tested, and symbols that cannot be fitted, are 0."""
     rows = staged(split_rows(bars, **split))
     symbols = sized(fittable(rows))
-    points = staged(with_points(rows, symbols), "symbol")
-    scored = probabilities(points, symbols, models, parallel)
+    scored = probabilities(staged(with_points(rows, symbols)), models)
     wide = scored.groupBy("symbol", "idx").pivot("model", list(models)).agg(F.first(signal_from(F.col("up"))))
     out = bars.select("symbol", "idx", "date").join(wide, ["symbol", "idx"], "left")
     return out.fillna(0.0, subset=list(models))

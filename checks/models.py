@@ -1,6 +1,7 @@
 """Fitted models: clustering, hidden Markov models, classifiers, tournaments.
 
-Fits have no SQL twin; what is applied after a fit is compared on given parameters.
+Logistic fits have a SQL twin, trees have twins for their shape and first cut; of other fits, what is applied after them is
+compared on given parameters.
 """
 
 from __future__ import annotations
@@ -64,20 +65,136 @@ def _(spark, sf):
     return rounded(test.select("symbol", "idx", classify.signal_from(up).alias("signal")))
 
 
+@shared
+def classified(spark, sf):
+    rows = split(spark, sf)
+    return classify.with_points(rows, classify.fittable(rows))
+
+
 def _learned(name: str):
     def run(spark, sf):
-        rows = split(spark, sf)
-        symbols = classify.fittable(rows)
-        made = classify.probabilities(classify.staged(classify.with_points(rows, symbols), "symbol"), symbols, [name])
-        return made.select("symbol", "idx", "date", "up")
+        return classify.probabilities(classified(spark, sf), [name]).select("symbol", "idx", "date", "up")
 
     return run
 
 
 check("m13_random_forest")(_learned("ml_rf"))
-check("m14_logistic_regression")(_learned("ml_logreg"))
 check("m15_gradient_boosting")(_learned("ml_gbrt"))
 
+_INPUTS = list(fx.CLASSIFIER_COLUMNS)
+view("fit15", f"SELECT e6.symbol, e6.idx, e6.date, e6.target, part, {', '.join(f'e6.{c}' for c in _INPUTS)} FROM e6 JOIN split15 USING (symbol, idx, date)")
+view(
+    "able15",
+    """SELECT symbol, count(*) FILTER (part = 'train') AS n, count(*) FILTER (part = 'test') AS tests, count(*) FILTER (part = 'train' AND target = 1) AS ups FROM fit15 GROUP BY 1
+    HAVING n >= 200 AND tests >= 10 AND ups > 0 AND ups < n""",
+)
+view(
+    "moments15",
+    f"SELECT symbol, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _INPUTS)} FROM fit15 WHERE part = 'train' GROUP BY 1",
+)
+view(
+    "inputs15",
+    f"""SELECT symbol, idx, date, part, target AS y, n / (2.0::DOUBLE * CASE WHEN target = 1 THEN ups ELSE n - ups END) AS w,
+    [{', '.join(f'({c} - m_{c}) / CASE WHEN s_{c} > 1e-12 THEN s_{c} ELSE 1 END' for c in _INPUTS)}, 1.0::DOUBLE] AS x FROM fit15 JOIN able15 USING (symbol) JOIN moments15 USING (symbol)""",
+)
+
+
+def _logistic_sql() -> str:
+    """Accelerated gradient steps, all symbols in one recursion, from 0 to the optimum."""
+    k = len(_INPUTS) + 1
+    gradient = ", ".join(f"sum(w * (p - y) * x[{j + 1}]){f' + any_value(ahead[{j + 1}])' if j < k - 1 else ''}" for j in range(k))
+    return f"""RECURSIVE_MARK steps AS (
+    SELECT symbol, 0 AS i, list_transform(range({k}), lambda j: 0.0::DOUBLE) AS b, list_transform(range({k}), lambda j: 0.0::DOUBLE) AS before, 1 + 0.25::DOUBLE * sum(w * list_dot_product(x, x)) AS lip FROM inputs15 WHERE part = 'train' GROUP BY symbol
+    UNION ALL
+    SELECT symbol, i + 1, list_transform(range({k}), lambda j: ahead[j + 1] - g[j + 1] / lip), b, lip FROM (
+        SELECT symbol, any_value(i) AS i, any_value(b) AS b, any_value(lip) AS lip, any_value(ahead) AS ahead, [{gradient}] AS g FROM (
+            SELECT a.*, w, x, y, 1 / (1 + exp(-list_dot_product(x, ahead))) AS p FROM (
+                SELECT *, list_transform(range({k}), lambda j: b[j + 1] + 0.9::DOUBLE * (b[j + 1] - before[j + 1])) AS ahead FROM steps WHERE i < 1500) a
+            JOIN (SELECT * FROM inputs15 WHERE part = 'train') t USING (symbol)) r GROUP BY symbol) q)"""
+
+
+view("betas15", f"SELECT * FROM (WITH {_logistic_sql().replace('RECURSIVE_MARK', 'RECURSIVE')} SELECT symbol, b FROM steps WHERE i = 1500) z")
+
+
+@check("m14_logistic_regression", f"SELECT symbol, idx, date, {rnd('1 / (1 + exp(-list_dot_product(x, b)))', 4)} AS up FROM inputs15 JOIN betas15 USING (symbol) WHERE part = 'test'")
+def _(spark, sf):
+    return rounded(_learned("ml_logreg")(spark, sf), 4)
+
+
+@check("m14_gradient_at_the_optimum", f"SELECT symbol, input, 0.0::DOUBLE AS gradient FROM able15, (VALUES {', '.join(f'({c!r})' for c in [*_INPUTS, 'intercept'])}) t(input)")
+def _(spark, sf):
+    rows = classified(spark, sf).where("part = 'train'").join(classify.fit_logistic(classified(spark, sf)), "symbol")
+    names = [*_INPUTS, "intercept"]
+    x = F.concat("scaled", F.array(F.lit(1.0)))
+    pull = F.col("weight") * (1 / (1 + F.exp(-F.aggregate(F.zip_with(x, "beta", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v))) - F.col("label"))
+    sums = rows.groupBy("symbol").agg(F.array(*[F.sum(pull * x[j]) + (F.first("beta")[j] if j < len(_INPUTS) else 0.0) for j in range(len(names))]).alias("g"))
+    return rounded(sums.select("symbol", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), "g")).alias("input", "gradient")), 5)
+
+
+@check("g5_logistic_signals", f"SELECT symbol, idx, {rnd('CASE WHEN up > 0.55 THEN 1.0 WHEN up < 0.45 THEN -1.0 ELSE 0.0 END::DOUBLE')} AS ml_logreg FROM (SELECT symbol, idx, 1 / (1 + exp(-list_dot_product(x, b))) AS up FROM inputs15 JOIN betas15 USING (symbol) WHERE part = 'test') t")
+def _(spark, sf):
+    made = classify.learned_signals(indexed(spark, sf), ["ml_logreg"])
+    tested = classified(spark, sf).where("part = 'test'").select("symbol", "idx")
+    return rounded(made.join(tested, ["symbol", "idx"]).select("symbol", "idx", "ml_logreg"))
+
+
+@shared
+def grown(spark, sf):
+    return classify.trees.fit(classified(spark, sf).where("part = 'train'"), ["ml_rf", "ml_gbrt"], classify.SEED)
+
+
+@check(
+    "m13_forest_shape",
+    "SELECT symbol, 80::BIGINT AS trees, 63::BIGINT AS inner_nodes_at_most, true AS leaves_have_50_rows, true AS bags_fit, true AS values_are_shares FROM able15",
+)
+def _(spark, sf):
+    train = classified(spark, sf).where("part = 'train'").groupBy("symbol").agg(F.count("*").alias("n"))
+    made = grown(spark, sf).where("model = 'ml_rf'").withColumn("size", F.aggregate("rows", F.lit(0).cast("long"), lambda t, v: t + v))
+    inner = F.size(F.filter("feature", lambda f: f >= 0))
+    return made.join(train, "symbol").groupBy("symbol").agg(
+        F.count_distinct("tree").alias("trees"),
+        F.greatest(F.max(inner).cast("long"), F.lit(63).cast("long")).alias("inner_nodes_at_most"),
+        F.bool_and(F.forall("rows", lambda r: (r == 0) | (r >= 50))).alias("leaves_have_50_rows"),
+        # A draw with repeats holds some 63 % of the rows.
+        F.bool_and(F.col("size").between(0.55 * F.col("n"), 0.72 * F.col("n"))).alias("bags_fit"),
+        F.bool_and(F.forall("value", lambda v: v.between(0, 1))).alias("values_are_shares"),
+    )
+
+
+@check("m15_boosting_shape", f"SELECT symbol, 80::BIGINT AS trees, {rnd('ln(ups / (n - ups)::DOUBLE)')} AS base, n * 80 AS rows_in_leaves, tests AS scored FROM able15")
+def _(spark, sf):
+    made = grown(spark, sf).where("model = 'ml_gbrt'")
+    size = F.aggregate("rows", F.lit(0).cast("long"), lambda t, v: t + v)
+    shape = made.groupBy("symbol").agg(
+        F.count_if(F.col("tree") >= 0).alias("trees"), F.max(F.when(F.col("tree") < 0, F.col("value")[0])).alias("base"), F.sum(F.when(F.col("tree") >= 0, size)).alias("rows_in_leaves")
+    )
+    points = classified(spark, sf)
+    scored = classify.trees.scored(points.where("part = 'test'"), made).where(F.col("up").between(0, 1)).groupBy("symbol").agg(F.count("*").alias("scored"))
+    return rounded(shape.join(scored, "symbol"))
+
+
+view(
+    "levels15",
+    f"""SELECT symbol, input, v, sum(t) AS t, count(*) AS c FROM (SELECT symbol, y - ups / n::DOUBLE AS t, unnest(range({len(_INPUTS)})) AS input, unnest([{', '.join(_INPUTS)}]) AS v
+    FROM (SELECT symbol, target AS y, {', '.join(_INPUTS)} FROM fit15 WHERE part = 'train') f JOIN able15 USING (symbol)) r GROUP BY ALL""",
+)
+view(
+    "cuts15",
+    """SELECT symbol, input, v, lead(v) OVER w AS following, sum(t) OVER w AS s, sum(c) OVER w AS c, sum(t) OVER p AS ts, sum(c) OVER p AS tc FROM levels15
+    WINDOW w AS (PARTITION BY symbol, input ORDER BY v), p AS (PARTITION BY symbol, input)""",
+)
+
+
+@check(
+    "m15_first_cut",
+    f"""SELECT symbol, input::INTEGER AS input, {rnd('threshold')} AS threshold, c::BIGINT AS rows_below FROM (
+    SELECT symbol, input, (v + following) / 2 AS threshold, c, row_number() OVER (PARTITION BY symbol ORDER BY s * s / c + (ts - s) * (ts - s) / (tc - c) DESC, input, v) AS r FROM cuts15 WHERE following IS NOT NULL) z WHERE r = 1""",
+)
+def _(spark, sf):
+    made = grown(spark, sf).where("model = 'ml_gbrt' AND tree = 0")
+    below = F.col("rows")[1] + F.col("rows")[3] + F.col("rows")[4]
+    return rounded(made.select("symbol", F.col("feature")[0].alias("input"), F.col("threshold")[0].alias("threshold"), below.alias("rows_below")))
+
 
 @check("g5_learned_signals")
 def _(spark, sf):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barlight.operators import classify, hmm, kmeans
+from barlight.operators import classify, hmm, kmeans, logistic
 from barlight.operators import features as fx
 from barlight.operators import regimes as rg
 from barlight.operators import tournament as tm
@@ -98,19 +98,33 @@ def test_hmm_does_not_depend_on_the_blocks(spark, monkeypatch):
 
 
 def test_logistic_fit_is_at_the_optimum(spark):
-    bars = bars_frame(spark, rows=700, symbols=("AA",))
+    bars = bars_frame(spark, rows=700, symbols=("AA", "BB"))
     rows = staged(classify.split_rows(bars))
     symbols = classify.fittable(rows)
-    points = staged(classify.with_points(rows, symbols), "symbol")
-    n = symbols.first()["train_rows"]
-    model = classify.fit(points, "AA", "ml_logreg", n)
-    pdf = points.where("part = 'train'").toPandas()
-    x, y, w = np.stack(pdf["scaled"].to_numpy()), pdf["label"].to_numpy(), pdf["weight"].to_numpy()
-    beta = model.coefficients.toArray()
-    p = 1 / (1 + np.exp(-(x @ beta + model.intercept)))
-    assert np.abs(x.T @ (w * (p - y)) + beta).max() < 1e-3 * n
-    assert abs((w * (p - y)).sum()) < 1e-3 * n
-    assert w.sum() == pytest.approx(n)
+    points = staged(classify.with_points(rows, symbols))
+    fitted = {r["symbol"]: r for r in classify.fit_logistic(points).collect()}
+    assert set(fitted) == {r["symbol"] for r in symbols.collect()} and fitted
+    for symbol, model in fitted.items():
+        pdf = points.where((F.col("part") == "train") & (F.col("symbol") == symbol)).toPandas()
+        x, y, w = np.stack(pdf["scaled"].to_numpy()), pdf["label"].to_numpy(), pdf["weight"].to_numpy()
+        beta, intercept = np.array(model["beta"][:-1]), model["beta"][-1]
+        p = 1 / (1 + np.exp(-(x @ beta + intercept)))
+        assert np.abs(x.T @ (w * (p - y)) + beta).max() < 1e-6
+        assert abs((w * (p - y)).sum()) < 1e-6
+        assert w.sum() == pytest.approx(len(pdf))
+
+
+def test_logistic_fit_shortens_steps_that_overshoot(spark):
+    # Nearly separable: full Newton steps from 0 run away without the search along the step.
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(-6, 0.1, 40), rng.normal(6, 0.1, 40)])
+    rows = [("a", [float(v)], float(v > 0), 1.0) for v in x] + [("b", [1.0], 1.0, 1.0), ("b", [1.0], 0.0, 1.0)]
+    points = staged(spark.createDataFrame(rows, "symbol string, x array<double>, label double, weight double"))
+    found = {r["symbol"]: r for r in logistic.fit(points, ["symbol"], 1, penalty=1e-3).collect()}
+    beta = np.array(found["a"]["beta"])
+    p = 1 / (1 + np.exp(-(x * beta[0] + beta[1])))
+    assert abs((x * (p - (x > 0))).sum() + 1e-3 * beta[0]) < 1e-6 and abs((p - (x > 0)).sum()) < 1e-6
+    assert found["b"]["beta"] == pytest.approx([0.0, 0.0], abs=1e-9)
 
 
 def test_quadrants_need_four_clusters(spark):
