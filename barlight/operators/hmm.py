@@ -6,8 +6,9 @@ over the small table of matrices, one row for each block, gives every block the
 with, the weight of what comes after it, and the state its best path ends in; the second pass works inside the blocks. The
 result doesn't depend on the length of the blocks.
 
-The expectation step returns sums per block; the sums are added by Spark; the maximisation step works on one
-row per model. Parameters are a written table, joined to the blocks each round.
+The expectation step returns sums per batch; the sums are added by Spark; the maximisation step works on one
+row per model. The blocks are written once, bucketed by model and number; a step is one job that deals out only the
+small tables to the buckets (a row of parameters for each model, one of matrices for each block), so points never move.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from barlight.operators.regimes import STATES
-from barlight.session import staged
+from barlight.session import bucketed, forget_bucketed, staged
 
 BLOCK_ROWS = 2_048
 BATCH_BLOCKS = 64  # blocks worked on together
@@ -36,6 +37,11 @@ def blocks(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def settled(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The blocks, written in buckets that joins with a row for each block keep to."""
+    return bucketed(blocks(points, keys), *keys, "part")
+
+
 def first_parameters(centers: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     """Cluster centers as means, unit spreads, every start and move equally likely."""
     even = F.lit(1.0 / STATES)
@@ -192,7 +198,7 @@ def _by_model(batch: pd.DataFrame, keys: list[str]):
 
 
 def entered(cut: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
-    """How each block is entered and left: keys, part and the columns of ENTRIES."""
+    """How each block is entered and left, with its model: keys, part and the columns of PARAMETERS and ENTRIES."""
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     typed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -208,7 +214,9 @@ def entered(cut: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -
                     frame[name] = value
                 yield frame[[*keys, "part", "matrix"]]
 
-    matrices = cut.join(params.select(*keys, "start", "moves", "means", "spreads"), keys).mapInPandas(kernel, f"{typed}, part bigint, matrix array<double>")
+    # One row of parameters for each block goes to the block's bucket.
+    dealt = cut.select(*keys, "part").join(params.select(*keys, "start", "moves", "means", "spreads"), keys).hint("shuffle_hash")
+    matrices = cut.join(dealt, [*keys, "part"]).mapInPandas(kernel, f"{typed}, part bigint, matrix array<double>")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
@@ -216,19 +224,20 @@ def entered(cut: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -
         start, moves = (np.asarray(pdf.iloc[0][c], dtype=float) for c in ("start", "moves"))
         square = (len(rows), STATES, STATES)
         got = _linked(rows[:, :4], rows[:, 4:8], rows[:, 8:24].reshape(square), rows[:, 24:].reshape(square), start, moves.reshape(STATES, STATES))
-        frame = pdf[[*keys, "part"]].reset_index(drop=True)
+        frame = pdf[[*keys, "part", "start", "moves", "means", "spreads"]].reset_index(drop=True)
         for name, value in zip(("entering", "before", "after", "scores"), got):
             frame[name] = list(value)
         frame["last"] = got[4]
         return frame
 
     # One row of 40 numbers for each block of BLOCK_ROWS rows.
-    return matrices.join(params.select(*keys, "start", "moves"), keys).groupBy(*keys).applyInPandas(scan, f"{typed}, part bigint, {ENTRIES}")
+    return matrices.join(params.select(*keys, "start", "moves", "means", "spreads"), keys).groupBy(*keys).applyInPandas(scan, f"{typed}, part bigint, {PARAMETERS}, {ENTRIES}")
 
 
 def _with_entries(cut: DataFrame, params: DataFrame, keys: list[str], dims: int) -> DataFrame:
-    entries = staged(entered(cut, params, keys, dims))
-    return cut.join(entries, [*keys, "part"]).join(params.select(*keys, "start", "moves", "means", "spreads"), keys)
+    # The hash table is of the entries, so the blocks are neither moved nor sorted.
+    entries = entered(cut, params, keys, dims).hint("shuffle_hash")
+    return cut.join(entries, [*keys, "part"])
 
 
 def _stack(pdf: pd.DataFrame, column: str) -> np.ndarray:
@@ -251,15 +260,14 @@ def expectation(cut: DataFrame, params: DataFrame, keys: Sequence[str], dims: in
                 mass = post.sum(axis=(0, 1))
                 first = np.einsum("ntk,ntd->kd", post, x)
                 second = np.einsum("ntk,ntd->kd", post, x * x)
-                sums = np.concatenate([[likelihood], opening, expected.ravel(), mass, first.ravel(), second.ravel()])
-                out += [(*key, i, float(s)) for i, s in enumerate(sums)]
-            yield pd.DataFrame(out, columns=[*keys, "position", "value"])
+                out.append((*key, np.concatenate([[likelihood], opening, expected.ravel(), mass, first.ravel(), second.ravel()])))
+            yield pd.DataFrame(out, columns=[*keys, "parts"])
 
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", position int, value double"
-    parts = _with_entries(cut, params, keys, dims).mapInPandas(kernel, schema).groupBy(*keys, "position").agg(F.sum("value").alias("value"))
-    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("_s"))
-    return whole.select(*keys, F.transform("_s", lambda p: p["value"]).alias("sums"))
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", parts array<double>"
+    width = 1 + STATES + STATES * STATES + STATES + 2 * STATES * dims
+    parts = _with_entries(cut, params, keys, dims).mapInPandas(kernel, schema)
+    return parts.groupBy(*keys).agg(F.array(*[F.sum(F.col("parts")[i]) for i in range(width)]).alias("sums"))
 
 
 def maximisation(stats: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
@@ -300,16 +308,17 @@ def fit(
 ) -> DataFrame:
     """Parameters and log-likelihood per key; stops when no key improves by more than the tolerance."""
     keys = list(keys)
-    cut = staged(blocks(points, keys))
-    params = staged(first_parameters(centers, keys, dims))
+    cut = settled(points, keys)
+    params = staged(first_parameters(centers, keys, dims).withColumn("log_likelihood", F.lit(None).cast("double")))
     for _ in range(max_iter):
-        after = staged(maximisation(expectation(cut, params, keys, dims), keys, dims))
-        if "log_likelihood" in params.columns:
-            before = params.select(*keys, F.col("log_likelihood").alias("_before"))
-            gain = after.join(before, keys).agg(F.max(F.col("log_likelihood") - F.col("_before"))).first()[0]
-            if gain is None or gain <= tolerance:
-                return after
+        before = params.select(*keys, F.col("log_likelihood").alias("_before"))
+        after = maximisation(expectation(cut, params, keys, dims), keys, dims).join(before, keys)
+        seen = Observation()
+        after = staged(after.observe(seen, F.max(F.col("log_likelihood") - F.col("_before")).alias("gain"), F.count("_before").alias("known")).drop("_before"))
         params = after
+        if seen.get["known"] and seen.get["gain"] <= tolerance:
+            break
+    forget_bucketed(cut)
     return params
 
 
@@ -332,7 +341,7 @@ def decode(points: DataFrame, params: DataFrame, keys: Sequence[str], dims: int)
                     frame[name] = value
                 yield frame[[*keys, "pos", "raw", "posterior"]]
 
-    rows = _with_entries(staged(blocks(points, keys)), params, keys, dims)
+    rows = _with_entries(settled(points, keys), params, keys, dims)
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pos long, raw int, posterior array<double>"
     return points.join(rows.mapInPandas(kernel, schema), [*keys, "pos"])
@@ -340,7 +349,7 @@ def decode(points: DataFrame, params: DataFrame, keys: Sequence[str], dims: int)
 
 def likelihoods(points: DataFrame, params: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     """Log-likelihood of the points per model, and the status text of the comparison."""
-    stats = expectation(staged(blocks(points, keys)), params.select(*keys, "start", "moves", "means", "spreads"), keys, dims)
+    stats = expectation(settled(points, keys), params.select(*keys, "start", "moves", "means", "spreads"), keys, dims)
     value = F.col("sums")[0]
     text = F.concat(F.lit("available_fit_success log_likelihood="), F.format_string("%.2f", value))
     return stats.select(*keys, value.alias("log_likelihood"), text.alias("hmm_status"))

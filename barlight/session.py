@@ -74,3 +74,26 @@ def sized(df: DataFrame) -> DataFrame:
     keeps its partitions; adaptive execution joins small ones.
     """
     return staged(df)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write a table once in as many buckets of the keys as shuffles have partitions.
+
+    For a large table that small ones are joined to again and again: they are dealt out as the buckets are, the
+    table itself stays where it is. It is in the session's catalogue until ``forget_bucketed``.
+    """
+    spark = df.sparkSession
+    name = f"barlight_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+    writer.option("path", f"{shared_folder(spark)}/staged/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def forget_bucketed(df: DataFrame) -> None:
+    """Take a table written by ``bucketed`` out of the catalogue; nothing may read it any more."""
+    for path in df.inputFiles():
+        for part in path.split("/"):
+            if part.startswith("barlight_") and df.sparkSession.catalog.tableExists(part):
+                df.sparkSession.sql(f"DROP TABLE {part}")
+                return
