@@ -209,6 +209,105 @@ def _(spark, sf):
     return made.select("symbol", F.round("inertia", 6).alias("inertia"), F.col("centers").cast("string").alias("centers"))
 
 
+def _moved(dims: int) -> str:
+    """Lloyd steps of all symbols in one recursion, from the means of the quadrants of the two axes."""
+    v, k = AXES
+    side = f"CASE WHEN z{v} > 0 THEN 2 ELSE 0 END + CASE WHEN z{k} > 0 THEN 1 ELSE 0 END"
+
+    def mean(q: int, j: int) -> str:
+        corner = (1 if q >= 2 else -1) if j == v else (1 if q % 2 else -1) if j == k else 0
+        return f"coalesce(avg(z{j}) FILTER (side = {q}), {corner}::DOUBLE)"
+
+    first = ", ".join("[" + ", ".join(mean(q, j) for j in range(dims)) + "]" for q in range(rg.STATES))
+    after = ", ".join("[" + ", ".join(f"coalesce(avg(z{j}) FILTER (raw = {q}), any_value(c[{q + 1}][{j + 1}]))" for j in range(dims)) + "]" for q in range(rg.STATES))
+    gaps = ", ".join("(" + " + ".join(f"(z{j} - c[{q + 1}][{j + 1}]) * (z{j} - c[{q + 1}][{j + 1}])" for j in range(dims)) + ")" for q in range(rg.STATES))
+    return f"""WITH RECURSIVE lloyd AS (SELECT symbol, 0 AS i, [{first}] AS c FROM (SELECT *, {side} AS side FROM z15) t GROUP BY symbol
+    UNION ALL SELECT symbol, any_value(i) + 1, [{after}] FROM (SELECT *, list_position(d, list_min(d)) - 1 AS raw FROM (
+    SELECT lloyd.symbol, i, c, [{gaps}] AS d, {', '.join(f'z{j}' for j in range(dims))} FROM lloyd JOIN z15 USING (symbol) WHERE i < 100) e) f GROUP BY symbol)
+    SELECT symbol, c FROM lloyd WHERE i = 100"""
+
+
+view("lloyd15", f"SELECT * FROM ({_moved(DIMS)}) t")
+
+
+@check(
+    "m3_lloyd_fixed_point",
+    f"SELECT symbol, CAST(k AS INTEGER) AS cluster, {', '.join(f'{rnd(f'c[k + 1][{j + 1}]', 7)} AS z{j}' for j in range(DIMS))} FROM lloyd15, range({rg.STATES}) t(k)",
+)
+def _(spark, sf):
+    made = kmeans.fit(points(spark, sf), ["symbol"], DIMS, AXES, starts=1, tolerance=1e-12)
+    rows = made.select("symbol", F.posexplode("centers").alias("cluster", "c"))
+    return rounded(rows.select("symbol", "cluster", *[F.col("c")[j].alias(f"z{j}") for j in range(DIMS)]), 7)
+
+
+# Given parameters for what hidden Markov models do after a fit.
+START = [0.4, 0.3, 0.2, 0.1]
+MOVES = [[0.85 if i == j else 0.02 + 0.03 * ((i + 2 * j) % 3) for j in range(rg.STATES)] for i in range(rg.STATES)]
+MOVES = [[x / sum(row) for x in row] for row in MOVES]
+SPREADS = [[0.6 + 0.2 * k + 0.05 * j for j in range(DIMS)] for k in range(rg.STATES)]
+K = range(rg.STATES)
+
+
+def given_hmm(spark, sf):
+    def flat(rows):
+        return F.array(*[F.lit(float(x)) for row in rows for x in row])
+
+    return points(spark, sf).select("symbol").distinct().select("symbol", flat([START]).alias("start"), flat(MOVES).alias("moves"), flat(tr.CENTERS).alias("means"), flat(SPREADS).alias("spreads"))
+
+
+_LOGS = [" + ".join(f"(z{j} - ({m!r}::DOUBLE)) * (z{j} - ({m!r}::DOUBLE)) / {s!r}::DOUBLE + ln(2 * pi() * {s!r}::DOUBLE)" for j, (m, s) in enumerate(zip(map(float, tr.CENTERS[k]), SPREADS[k], strict=True))) for k in K]
+view("logs15", f"SELECT symbol, pos, {', '.join(f'-0.5::DOUBLE * ({x}) AS l{k}' for k, x in enumerate(_LOGS))} FROM z15")
+view("dens15", f"SELECT *, {', '.join(f'exp(l{k} - top) AS d{k}' for k in K)} FROM (SELECT *, greatest(l0, l1, l2, l3) AS top, max(pos) OVER (PARTITION BY symbol) AS final FROM logs15) t")
+
+
+def _mix(name: str, to: int) -> str:
+    return "(" + " + ".join(f"{name}{j} * {MOVES[j][to]!r}::DOUBLE" for j in K) + ")"
+
+
+view(
+    "ahead15",
+    f"""SELECT * FROM (WITH RECURSIVE ahead AS (SELECT symbol, pos, {', '.join(f'b{k} / b AS a{k}' for k in K)}, ln(b) + top AS ll FROM (SELECT *, b0 + b1 + b2 + b3 AS b FROM (
+    SELECT symbol, pos, top, {', '.join(f'{START[k]!r}::DOUBLE * d{k} AS b{k}' for k in K)} FROM dens15 WHERE pos = 0) x) y
+    UNION ALL SELECT symbol, pos, {', '.join(f'b{k} / b AS a{k}' for k in K)}, ll + ln(b) + top FROM (SELECT *, b0 + b1 + b2 + b3 AS b FROM (
+    SELECT d.symbol, d.pos, d.top, ll, {', '.join(f'{_mix("a", k)} * d{k} AS b{k}' for k in K)} FROM ahead JOIN dens15 d ON d.symbol = ahead.symbol AND d.pos = ahead.pos + 1) x) y)
+    SELECT * FROM ahead) z""",
+)
+_BACK = ["(" + " + ".join(f"{MOVES[k][j]!r}::DOUBLE * behind.d{j} * g{j}" for j in K) + ")" for k in K]
+view(
+    "behind15",
+    f"""SELECT * FROM (WITH RECURSIVE behind AS (SELECT symbol, pos, {', '.join(f'1.0::DOUBLE AS g{k}' for k in K)}, {', '.join(f'd{k}' for k in K)} FROM dens15 WHERE pos = final
+    UNION ALL SELECT symbol, pos, {', '.join(f'h{k} / (h0 + h1 + h2 + h3) AS g{k}' for k in K)}, {', '.join(f'e{k}' for k in K)} FROM (
+    SELECT p.symbol, p.pos, {', '.join(f'{_BACK[k]} AS h{k}' for k in K)}, {', '.join(f'p.d{k} AS e{k}' for k in K)} FROM behind JOIN dens15 p ON p.symbol = behind.symbol AND p.pos = behind.pos - 1) x)
+    SELECT symbol, pos, {', '.join(f'g{k}' for k in K)} FROM behind) z""",
+)
+_LOG_MOVES = [[f"ln({MOVES[j][k]!r}::DOUBLE)" for k in K] for j in K]
+view(
+    "scores15",
+    f"""SELECT * FROM (WITH RECURSIVE best AS (SELECT symbol, pos, final, {', '.join(f'ln({START[k]!r}::DOUBLE) + l{k} AS s{k}' for k in K)}, {', '.join(f'0 AS c{k}' for k in K)} FROM dens15 WHERE pos = 0
+    UNION ALL SELECT symbol, pos, final, {', '.join(f'list_max(o{k}) + l{k} AS s{k}' for k in K)}, {', '.join(f'list_position(o{k}, list_max(o{k})) - 1 AS c{k}' for k in K)} FROM (
+    SELECT d.*, {', '.join(f'[{", ".join(f"s{j} + {_LOG_MOVES[j][k]}" for j in K)}] AS o{k}' for k in K)} FROM best JOIN dens15 d ON d.symbol = best.symbol AND d.pos = best.pos + 1) x)
+    SELECT * FROM best) z""",
+)
+view(
+    "route15",
+    """SELECT * FROM (WITH RECURSIVE route AS (SELECT symbol, pos, list_position([s0, s1, s2, s3], greatest(s0, s1, s2, s3)) - 1 AS raw, [c0, c1, c2, c3] AS came FROM scores15 WHERE pos = final
+    UNION ALL SELECT p.symbol, p.pos, came[raw + 1], [c0, c1, c2, c3] FROM route JOIN scores15 p ON p.symbol = route.symbol AND p.pos = route.pos - 1)
+    SELECT symbol, pos, raw FROM route) z""",
+)
+
+
+@check("m6_posteriors_and_path", f"""SELECT symbol, pos, CAST(raw AS INTEGER) AS raw, {', '.join(f'{rnd(f"a{k} * g{k} / (a0 * g0 + a1 * g1 + a2 * g2 + a3 * g3)", 7)} AS state_{k}' for k in K)}
+    FROM ahead15 JOIN behind15 USING (symbol, pos) JOIN route15 USING (symbol, pos)""")
+def _(spark, sf):
+    out = hmm.decode(points(spark, sf), given_hmm(spark, sf), ["symbol"], DIMS)
+    return rounded(out.select("symbol", "pos", "raw", *[F.col("posterior")[k].alias(f"state_{k}") for k in K]), 7)
+
+
+@check("m7_given_likelihood", f"SELECT symbol, {rnd('ll', 5)} AS log_likelihood, 'available_fit_success log_likelihood=' || format('{{:.2f}}', ll) AS hmm_status FROM ahead15 WHERE pos = (SELECT max(pos) FROM dens15 d WHERE d.symbol = ahead15.symbol)")
+def _(spark, sf):
+    return rounded(hmm.likelihoods(points(spark, sf), given_hmm(spark, sf), ["symbol"], DIMS), 5)
+
+
 @shared
 def fitted_hmm(spark, sf):
     centers = kmeans.fit(points(spark, sf), ["symbol"], DIMS, AXES, starts=1)
