@@ -1,7 +1,9 @@
-"""Resampled return paths: a grid of scenario cells, each drawn from a hash of its key.
+"""Resampled return paths: one row per path, each of its steps drawn from a hash of its key.
 
 A draw depends only on the seed and the cell, so paths do not change with the
-partitioning of the input or when a lost task is run again.
+partitioning of the input or when a lost task is run again. A path is an array of the horizon's length: draws, wealth and
+drawdown are made inside its row. Returns that are taken from a pool are looked up in pieces of ``CHUNK`` consecutive
+ones, one row for each piece a path draws from, not one for each step.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.functions.scalar import fast_uniform, ratio
@@ -21,6 +23,7 @@ from barlight.session import staged
 SCENARIO = ["symbol", "strategy", "regime_filter", "stress_model"]
 PATH = [*SCENARIO, "simulation"]
 PERCENTILES = [0.05, 0.5, 0.95]
+CHUNK = 4_096  # consecutive returns of a pool in one row
 
 
 def dated_regimes(returns: DataFrame, labels: DataFrame) -> DataFrame:
@@ -83,11 +86,10 @@ def scenarios(pools: DataFrame, filters: DataFrame, models: Sequence[str]) -> Da
     return rows.withColumn("stress_model", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
-def grid(scenario_rows: DataFrame, simulations: int, horizon: int) -> DataFrame:
-    """Every step of every simulation of every scenario; a path stays in one partition."""
+def grid(scenario_rows: DataFrame, simulations: int) -> DataFrame:
+    """Every simulation of every scenario, dealt out evenly."""
     rows = scenario_rows.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    rows = rows.repartition(*PATH)
-    return rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return rows.repartition(*PATH)
 
 
 def normal_return(mean: Column, deviation: Column, u1: Column, u2: Column) -> Column:
@@ -115,24 +117,58 @@ def mixture_pick(mix: Column, u1: Column, u2: Column) -> Column:
     return F.struct(picked["pool"].alias("pool"), F.floor(u2 * picked["n"]).cast("long").alias("ord"))
 
 
-def drawn_cells(cells: DataFrame, seed: int, block: int, uniform: Callable[..., Column]) -> DataFrame:
-    """Per cell: a normal return, or the (pool, ord) of the bar whose return it takes."""
+def drawn_paths(rows: DataFrame, horizon: int, seed: int, block: int, uniform: Callable[..., Column]) -> DataFrame:
+    """Per path: its normal returns, or the (step, pool, ord) of the bars whose returns it takes."""
     key = [seed, *[F.col(c) for c in PATH]]
-    step = F.col("step").cast("string")
-    u1, u2 = uniform(*key, step, "a"), uniform(*key, step, "b")
+    steps = F.sequence(F.lit(1), F.lit(horizon))
     size = F.greatest(F.lit(1), F.least(F.lit(block), F.col("n").cast("int")))
-    number = F.floor((F.col("step") - 1) / size).cast("long")
-    start = F.floor(uniform(*key, number.cast("string"), "s") * (F.col("n") - size + 1)).cast("long")
-    boot = F.struct(F.col("regime_filter").alias("pool"), (start + (F.col("step") - 1) % size).alias("ord"))
+
+    def two(step: Column) -> tuple[Column, Column]:
+        text = step.cast("string")
+        return uniform(*key, text, "a"), uniform(*key, text, "b")
+
+    def mixed(step: Column) -> Column:
+        pick = mixture_pick(F.col("mix"), *two(step))
+        return F.struct(step.alias("step"), pick["pool"].alias("pool"), pick["ord"].alias("ord"))
+
+    def booted(step: Column) -> Column:
+        number = F.floor((step - 1) / size).cast("long")
+        start = F.floor(uniform(*key, number.cast("string"), "s") * (F.col("n") - size + 1)).cast("long")
+        return F.struct(step.alias("step"), F.col("regime_filter").alias("pool"), (start + (step - 1) % size).alias("ord"))
+
     model = F.col("stress_model")
-    mixed = (model == "regime_mixture_gbm") & (F.coalesce(F.size("mix"), F.lit(0)) > 0)
-    take = F.when(mixed, mixture_pick(F.col("mix"), u1, u2)).when(model == "block_bootstrap", boot)
-    drawn = F.when(take.isNull(), normal_return(F.col("mean"), F.col("deviation"), u1, u2))
-    cells = cells.withColumn("_take", take).withColumn("_normal", drawn)
-    return cells.select(*PATH, "step", "_normal", F.col("_take.pool").alias("pool"), F.col("_take.ord").alias("ord"))
+    from_mix = (model == "regime_mixture_gbm") & (F.coalesce(F.size("mix"), F.lit(0)) > 0)
+    picks = F.when(from_mix, F.transform(steps, mixed)).when(model == "block_bootstrap", F.transform(steps, booted))
+    normal = F.when(~from_mix & (model != "block_bootstrap"), F.transform(steps, lambda step: normal_return(F.col("mean"), F.col("deviation"), *two(step))))
+    return rows.select(*PATH, normal.alias("returns"), picks.alias("picks"))
+
+
+def chunked(pools: DataFrame) -> DataFrame:
+    """Pools in rows of CHUNK consecutive returns."""
+    keys = ["symbol", "strategy", "pool"]
+    own = pools.groupBy(*keys, F.floor(F.col("ord") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("ord", "return"))).alias("_r"))
+    return own.select(*keys, "chunk", F.transform("_r", lambda r: r["return"]).alias("held"))
+
+
+def looked_up(taken: DataFrame, pools: DataFrame) -> DataFrame:
+    """PATH and returns of paths given by their picks."""
 
+    def chunk(pick: Column) -> Column:
+        return F.floor(pick["ord"] / CHUNK)
 
-def simulated_returns(
+    parts = F.array_distinct(F.transform("picks", lambda p: F.struct(p["pool"].alias("pool"), chunk(p).alias("chunk"))))
+    rows = taken.withColumn("part", F.explode(parts))
+    own = F.filter("picks", lambda p: (p["pool"] == F.col("part.pool")) & (chunk(p) == F.col("part.chunk")))
+    asked = F.transform(own, lambda p: F.struct(p["step"].alias("step"), (p["ord"] % CHUNK).cast("int").alias("at")))
+    rows = rows.select(*PATH, F.col("part.pool").alias("pool"), F.col("part.chunk").alias("chunk"), asked.alias("asked"))
+    met = rows.join(chunked(pools), ["symbol", "strategy", "pool", "chunk"])
+    found = met.select(*PATH, F.transform("asked", lambda a: F.struct(a["step"].alias("step"), F.get("held", a["at"]).alias("return"))).alias("found"))
+    # A path gathers its own steps, as many as the horizon.
+    whole = found.groupBy(*PATH).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("_f"))
+    return whole.select(*PATH, F.transform("_f", lambda f: f["return"]).alias("returns"))
+
+
+def simulated_paths(
     pools: DataFrame,
     filters: DataFrame,
     simulations: int = 500,
@@ -142,22 +178,19 @@ def simulated_returns(
     models: Sequence[str] = tuple(STRESS_MODELS),
     uniform: Callable[..., Column] = fast_uniform,
 ) -> DataFrame:
-    """One return per scenario, simulation and step."""
+    """The returns of every simulation of every scenario, in order of their steps."""
     unknown = set(models) - set(STRESS_MODELS)
     if unknown:
         raise ValueError(f"unknown stress models: {sorted(unknown)}")
-    cells = drawn_cells(grid(scenarios(pools, filters, models), simulations, horizon), seed, block, uniform)
-    normal = cells.where(F.col("pool").isNull()).select(*PATH, "step", F.col("_normal").alias("return"))
-    taken = cells.where(F.col("pool").isNotNull()).join(pools, ["symbol", "strategy", "pool", "ord"])
-    return normal.unionByName(taken.select(*PATH, "step", "return"))
+    paths = drawn_paths(grid(scenarios(pools, filters, models), simulations), horizon, seed, block, uniform)
+    normal = paths.where(F.col("picks").isNull()).select(*PATH, "returns")
+    return normal.unionByName(looked_up(paths.where(F.col("picks").isNotNull()).select(*PATH, "picks"), pools))
 
 
-def wealth(paths: DataFrame) -> DataFrame:
-    """Compounded wealth and its fall from the path's peak; a path is bounded by the horizon."""
-    so_far = Window.partitionBy(*PATH).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    rows = paths.withColumn("wealth", F.product(1 + F.col("return")).over(so_far))
-    peak = F.greatest(F.max("wealth").over(so_far), F.lit(1e-12))
-    return rows.withColumn("drawdown", ratio(F.col("wealth"), peak) - 1)
+def simulated_returns(pools: DataFrame, filters: DataFrame, *args, **options) -> DataFrame:
+    """One return per scenario, simulation and step; arguments are those of ``simulated_paths``."""
+    paths = simulated_paths(pools, filters, *args, **options)
+    return paths.select(*PATH, F.posexplode("returns").alias("step", "return")).withColumn("step", F.col("step") + 1)
 
 
 def saved_paths(paths: DataFrame, keep: int = 50, capital: float = CAPITAL) -> DataFrame:
@@ -166,18 +199,30 @@ def saved_paths(paths: DataFrame, keep: int = 50, capital: float = CAPITAL) -> D
 
 
 def equity_paths(paths: DataFrame, capital: float = CAPITAL) -> DataFrame:
-    """Equity along every path."""
-    rows = wealth(paths)
-    return rows.select(*PATH, "step", "return", (capital * F.col("wealth")).alias("equity"))
+    """Equity along every path, a row for each step."""
+    begun = F.struct(F.lit(1.0).alias("wealth"), F.array().cast("array<double>").alias("so_far"))
+
+    def grown(state: Column, r: Column) -> Column:
+        wealth = state["wealth"] * (1 + r)
+        return F.struct(wealth.alias("wealth"), F.concat(state["so_far"], F.array(wealth)).alias("so_far"))
+
+    wealth = F.aggregate("returns", begun, grown)["so_far"]
+    steps = F.arrays_zip(F.col("returns").alias("return"), wealth.alias("wealth"))
+    rows = paths.select(*PATH, F.posexplode(steps).alias("step", "_s"))
+    return rows.select(*PATH, (F.col("step") + 1).alias("step"), F.col("_s.return").alias("return"), (capital * F.col("_s.wealth")).alias("equity"))
 
 
 def path_ends(paths: DataFrame) -> DataFrame:
-    """Terminal return and worst drawdown per path."""
-    return wealth(paths).groupBy(*PATH).agg(
-        (F.max_by("wealth", "step") - 1).alias("terminal"),
-        F.min("drawdown").alias("max_drawdown"),
-        F.count(F.lit(1)).alias("horizon"),
-    )
+    """Terminal return and worst fall from the path's own peak."""
+    begun = F.struct(F.lit(1.0).alias("wealth"), F.lit(1e-12).alias("peak"), F.lit(0.0).alias("worst"))
+
+    def grown(state: Column, r: Column) -> Column:
+        wealth = state["wealth"] * (1 + r)
+        peak = F.greatest(state["peak"], wealth)
+        return F.struct(wealth.alias("wealth"), peak.alias("peak"), F.least(state["worst"], ratio(wealth, peak) - 1).alias("worst"))
+
+    rows = paths.withColumn("_e", F.aggregate("returns", begun, grown))
+    return rows.select(*PATH, (F.col("_e.wealth") - 1).alias("terminal"), F.col("_e.worst").alias("max_drawdown"), F.size("returns").cast("long").alias("horizon"))
 
 
 def summary(ends: DataFrame, capital: float = CAPITAL, drawdown_threshold: float = 0.20) -> DataFrame:
@@ -223,7 +268,7 @@ def summary(ends: DataFrame, capital: float = CAPITAL, drawdown_threshold: float
 class Stress:
     summary: DataFrame
     paths: DataFrame  # the first simulations, to look at
-    equity: DataFrame  # all simulations, for distributions; drawn anew where it is read
+    equity: DataFrame  # all simulations, for distributions
 
 
 def run_stress(
@@ -243,6 +288,6 @@ def run_stress(
         regimes = staged(dated_regimes(returns, labels))
         filters = regime_filters(regimes, regime_requests)
     pools = staged(return_pools(returns, regimes))
-    paths = simulated_returns(pools, filters, **options)
+    paths = staged(simulated_paths(pools, filters, **options))
     ends = staged(path_ends(paths))
     return Stress(summary(ends, capital, drawdown_threshold), saved_paths(paths, keep_paths, capital), equity_paths(paths, capital))

@@ -56,6 +56,21 @@ def test_paths_do_not_depend_on_partitioning(spark):
     assert left == pytest.approx(right, abs=1e-15)
 
 
+def test_paths_do_not_depend_on_the_chunks(spark, monkeypatch):
+    returns, labels = stress_input(spark)
+    found = []
+    for rows in (4_096, 7):
+        monkeypatch.setattr(st, "CHUNK", rows)
+        run = st.run_stress(returns, labels, ["all", "each"], simulations=5, horizon=17, block=6, keep_paths=5)
+        key = ["strategy", "regime_filter", "stress_model", "simulation", "step"]
+        found.append(run.paths.toPandas().sort_values(key).reset_index(drop=True))
+    assert found[0].equals(found[1]) and len(found[0]) == 9 * 5 * 17
+    ends = found[0].groupby(["regime_filter", "stress_model", "simulation"])
+    for _, path in ends:
+        wealth = (1 + path["return"]).cumprod()
+        assert path["equity"].to_list() == pytest.approx((100_000 * wealth).to_list())
+
+
 def test_block_paths_are_runs_of_the_input(spark):
     returns, _ = stress_input(spark)
     paths = st.run_stress(returns, simulations=6, horizon=12, block=4, keep_paths=6, models=["block_bootstrap"]).paths.toPandas()
