@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barlight.operators import clean, continuous, ordered
 from barlight.schema import RAW_MINUTES
+from barlight.session import shared_folder
+from barlight.sources.raw import read_minute_files
 from checks.registry import check, rnds, rnd, rounded, view
 from checks.views import bars, contracts, indexed, raw_minutes
 
@@ -38,7 +42,13 @@ view(
 
 @check("s1_raw_scan", f"SELECT {', '.join(RAW_MINUTES.names)} FROM raw_minutes")
 def _(spark, sf):
-    return raw_minutes(spark, sf).select(*RAW_MINUTES.names)
+    """Written as CSV files of two header orders, one with a further column, and read back."""
+    rows = raw_minutes(spark, sf).select(*RAW_MINUTES.names)
+    folder = f"{shared_folder(spark)}/minutes/{uuid.uuid4().hex}"
+    odd = F.xxhash64(*RAW_MINUTES.names) % 2 != 0
+    rows.where(odd).write.option("header", True).csv(f"{folder}/a")
+    rows.where(~odd).select(F.lit("x,y").alias("extra"), *RAW_MINUTES.names[::-1]).write.option("header", True).csv(f"{folder}/b")
+    return read_minute_files(spark, f"{folder}/*")[0]
 
 
 @check("f1_outright_contracts", "SELECT symbol, 'NQ' AS root, ts_event, close FROM outright_rows")

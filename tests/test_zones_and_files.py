@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barlight.functions.scalar import bucket_end
 from barlight.operators import resample
 from barlight.schema import RAW_MINUTES
-from barlight.sources.raw import read_minute_csv
+from barlight.sources.raw import read_minute_csv, read_minute_files
 
 ZONES = ["UTC", "America/New_York", "Asia/Kolkata"]
 
@@ -66,3 +66,19 @@ def test_files_with_another_header_fail(spark, tmp_path):
     csv(tmp_path / "absent", "a.csv", names[1:], values)
     with pytest.raises(ValueError):
         read_minute_csv(spark, str(tmp_path / "absent"))
+
+
+def test_headers_are_read_file_by_file(spark, tmp_path):
+    names = [*RAW_MINUTES.names, "publisher_id"]
+    values = {c: f"v_{c}" for c in names} | {"publisher_id": '"a, ""b"""'}
+    csv(tmp_path, "a.csv", names, values)
+    csv(tmp_path, "b.csv", names[::-1], values | {"close": ""})
+    csv(tmp_path, "c.csv", [c for c in names if c != "volume"], values)
+    (tmp_path / "d.csv").write_text("1,2,3\n")
+    (tmp_path / "e.csv").write_text(",".join(names) + "\n1,2,3\n" + ",".join(names[::-1]) + "\n")
+    (tmp_path / "f.csv").write_text(",".join(names) + "\n\n1,2,3\n" + ",".join(names) + "\n")
+    rows, quarantine = read_minute_files(spark, str(tmp_path))
+    good = tuple(values[c] for c in RAW_MINUTES.names)
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == sorted([good, tuple(None if c == "close" else values[c] for c in RAW_MINUTES.names)], key=str)
+    reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in quarantine.collect()}
+    assert reasons == {"c.csv": "no column volume", "d.csv": "no header", "e.csv": "several headers", "f.csv": f"3 fields of {len(names)}"}
