@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from barlight.functions.scalar import display_label, slug
@@ -20,6 +22,7 @@ TABLES = [
 ]
 CATALOGUE = ["models", "runs", "skipped_models"]  # one set of rows per run, not per model
 PRIMARY_ROWS = 100_000
+SCHEMAS = "_schemas"  # columns of tables that were written without rows
 
 
 class RunStore:
@@ -51,6 +54,22 @@ class RunStore:
             .partitionBy(*parts)
             .parquet(f"{self.root}/{table}")
         )
+        if self._files(table) is None:  # nothing but empty tables so far: no file tells the columns
+            text = self.spark.createDataFrame([(rows.schema.json(),)], "value string")
+            text.coalesce(1).write.mode("overwrite").text(f"{self.root}/{SCHEMAS}/{table}")
+
+    def _files(self, table: str) -> DataFrame | None:
+        """The table as far as files hold it."""
+        return _known(lambda: self.spark.read.parquet(f"{self.root}/{table}"))
+
+    def _table(self, table: str, otherwise: str) -> DataFrame:
+        """The table; without rows one with the columns it was last written with, or, if it never was, those given."""
+        found = self._files(table)
+        if found is not None:
+            return found
+        saved = _known(lambda: self.spark.read.text(f"{self.root}/{SCHEMAS}/{table}"))
+        schema = otherwise if saved is None else StructType.fromJson(json.loads(saved.first()["value"]))
+        return self.spark.createDataFrame([], schema)
 
     def write_csv(self, table: str, df: DataFrame, run_id: str, model_id: str = "") -> None:
         """The same table as header CSV files, for readers without Parquet."""
@@ -58,14 +77,8 @@ class RunStore:
         df.write.mode("overwrite").option("header", True).csv(folder)
 
     def read(self, table: str, run_id: str, model_id: str | None = None) -> DataFrame:
-        """The run's table for the wanted model; a table that was not written is empty."""
-        try:
-            rows = self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return self.spark.createDataFrame([], "run_id string, model_id string")
-        rows = rows.where(F.col("run_id") == run_id)
+        """The run's table for the wanted model. One that was written without rows keeps its columns, one that never was has only its keys."""
+        rows = self._table(table, "run_id string, model_id string").where(F.col("run_id") == run_id)
         if table in CATALOGUE:
             return rows
         on = [c for c in ("symbol", "model_id") if c in rows.columns]
@@ -81,18 +94,23 @@ class RunStore:
         return rows.select("run_id", "mode", "rows", "modified", found.alias("has_tables"))
 
     def _all(self, table: str) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return self.spark.createDataFrame([], "run_id string, mode string, rows bigint, created_at timestamp")
+        return self._table(table, "run_id string, mode string, rows bigint, created_at timestamp")
 
     def load(self, run_id: str, model_id: str | None = None) -> dict[str, DataFrame]:
         """All tables of a run for one model."""
         return {t: self.read(t, run_id, model_id) for t in TABLES}
 
 
+def _known(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What is read, or nothing where no file is there."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def selected_model(models: DataFrame, model_id: str | None = None) -> DataFrame:
     """The wanted model when the run has it, else the recommended one, else the first by rank."""
     wanted = F.lit(False) if model_id is None else F.col("model_id") == model_id

@@ -3,6 +3,7 @@ from datetime import datetime
 from barlight.operators import clean
 from barlight.plans.research import load_bars
 from barlight.sources.raw import read_minute_csv
+from barlight.sources.runs import RunStore
 
 HEADER = "ts_event,rtype,publisher_id,instrument_id,open,high,low,close,volume,symbol\n"
 
@@ -40,3 +41,18 @@ def test_full_load_stitches_and_adjusts(spark, tmp_path):
     summary = clean.load_summary(load_bars(records, ["NQ"])).first()
     assert (summary["rows"], summary["trade_days"], summary["start_date"]) == (2, 2, "2024-01-02")
     assert load_bars(records, ["ES"], sample_rows=5).count() == 0
+
+
+def test_tables_without_rows_keep_their_columns(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    models = spark.createDataFrame([("AA", "m", 1, True)], "symbol string, model_id string, rank int, is_best boolean")
+    trades = spark.createDataFrame([("AA", 1.5, "m")], "symbol string, pnl double, model_id string")
+    store.write("models", models, "r1")
+    store.write_by_model("trades", trades.where("pnl > 2"), "r1")
+    empty = store.read("trades", "r1").select("symbol", "pnl")
+    assert empty.count() == 0 and empty.dtypes == [("symbol", "string"), ("pnl", "double")]
+    store.write("models", models, "r2")
+    store.write_by_model("trades", trades, "r2")
+    assert [r["pnl"] for r in store.read("trades", "r2").collect()] == [1.5]
+    assert store.read("trades", "r1").count() == 0 and store.read("metrics", "r1").count() == 0
+    assert store.manifests().count() == 0
