@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barlight.functions import rolling
 from barlight.functions.scalar import ratio, row_mean
 from barlight.operators.ordered import Blocks, with_ordinal
-from barlight.operators.resample import DAY, FIVE_MINUTES, WEEK, asof_backward, resampled
+from barlight.operators.resample import DAY, FIVE_MINUTES, WEEK, asof_backward, partials, resampled, rolled_up
+from barlight.session import staged
 
 SHORT, LONG = 30, 120
 MINUTE, SCRIPTED, MULTI, HYBRID = (
@@ -109,14 +110,14 @@ def _timeframe_columns(prefix: str, short: int, long: int, order: WindowSpec) ->
     }
 
 
-def timeframe_features(bars: DataFrame, prefix: str) -> DataFrame:
+def timeframe_features(bars: DataFrame, prefix: str, records: DataFrame | None = None) -> DataFrame:
     """Volatility and trend of one higher timeframe, shifted by one completed bar.
 
-    Daily and weekly tables hold at most one row per symbol and calendar day, so a plain
+    ``records`` are ``partials`` of the bars, where several timeframes share them. Daily and weekly tables hold at most one row per symbol and calendar day, so a plain
     window is bounded; the five-minute table goes through blocks.
     """
     rule, short, long = FRAMES[prefix]
-    table = resampled(bars, rule)
+    table = resampled(bars, rule) if records is None else rolled_up(records, rule)
     if rule == FIVE_MINUTES:
         table = with_ordinal(table)
         b = Blocks.of(table)
@@ -132,7 +133,8 @@ def timeframe_features(bars: DataFrame, prefix: str) -> DataFrame:
 
 def multi_timeframe_features(bars: DataFrame) -> DataFrame:
     """Last completed five-minute, daily and weekly context of every bar."""
-    tables = {p: timeframe_features(bars, p) for p in FRAMES}
+    records = staged(partials(bars))
+    tables = {p: timeframe_features(bars, p, records) for p in FRAMES}
     joined = asof_backward(bars.select(*ID), tables)
     rows = joined.select(*ID, *[F.col(f"{p}.{p}_{c}") for p in FRAMES for c in _PARTS])
     vol = [c for c in MULTI_COLUMNS if c.endswith(("vol_short", "vol_long", "range_pct"))]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,28 @@ def test_headers_are_read_file_by_file(spark, tmp_path):
     assert sorted((tuple(r) for r in rows.collect()), key=str) == sorted([good, tuple(None if c == "close" else values[c] for c in RAW_MINUTES.names)], key=str)
     reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in quarantine.collect()}
     assert reasons == {"c.csv": "no column volume", "d.csv": "no header", "e.csv": "several headers", "f.csv": f"3 fields of {len(names)}"}
+
+
+def test_bins_rolled_up_from_records_equal_those_of_the_bars(spark):
+    """Weeks end with Friday, days take the midnight after them in: a record never lies in two bins."""
+    friday = pd.Timestamp("2024-01-05 23:50")
+    rows = [(k, friday + pd.Timedelta(minutes=i), 1.0 + i, 3.0 + i % 7, 0.5 - i, 2.0 * i, 1.0 + i) for k in ("a", "b") for i in range(0, 4000, 3 if k == "a" else 1)]
+    bars = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double")
+    records = resample.partials(bars)
+    for rule in (resample.FIVE_MINUTES, resample.DAY, resample.WEEK):
+        want = sorted(tuple(r) for r in resample.resampled(bars, rule).select(*bars.columns).collect())
+        assert sorted(tuple(r) for r in resample.rolled_up(records, rule).select(*bars.columns).collect()) == want
+    assert resample.rolled_up(resample.partials(bars.limit(0)), resample.WEEK).count() == 0
+
+
+def test_asof_takes_the_last_row_of_any_earlier_day(spark):
+    at = pd.Timestamp
+    left = [("a", i, t) for i, t in enumerate([at("2024-01-01 10:00"), at("2024-01-02 00:00"), at("2024-01-04 09:00"), at("2024-01-04 10:00")])]
+    left = spark.createDataFrame(left + [("b", 0, at("2024-01-04 10:00"))], "symbol string, idx int, date timestamp_ntz")
+    slow = spark.createDataFrame([("a", at("2024-01-02 00:00"), 1), ("a", at("2024-01-04 10:00"), 2)], "symbol string, date timestamp_ntz, v int")
+    fast = spark.createDataFrame([("a", at("2024-01-01 09:00"), None), ("a", at("2024-01-03 12:00"), 7)], "symbol string, date timestamp_ntz, w int")
+    found = resample.asof_backward(left, {"slow": slow, "fast": fast}).select("symbol", "idx", "slow.v", "fast.date", "fast.w")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == [
+        ("a", 0, None, at("2024-01-01 09:00"), None), ("a", 1, 1, at("2024-01-01 09:00"), None),
+        ("a", 2, 1, at("2024-01-03 12:00"), 7), ("a", 3, 2, at("2024-01-03 12:00"), 7), ("b", 0, None, None, None),
+    ]
