@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions.scalar import ratio
 from barlight.operators.ordered import Blocks, running_product
-from barlight.operators.quantiles import tail_quantile
+from barlight.operators.quantiles import distribution
 from barlight.schema import BARS_PER_YEAR, CAPITAL, COST_BPS, TINY
 from barlight.session import staged
 
@@ -95,27 +95,18 @@ def return_metrics(
     keys = list(keys)
     idx = ["idx"] if "idx" in returns.columns else []
     rows = returns.select(*keys, *idx, F.coalesce("return", F.lit(0.0)).alias("return"))
-    r = F.col("return")
-    moments = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("bars"),
-        F.avg(r).alias("expectancy"),
-        F.stddev_pop(r).alias("_std"),
-        F.stddev_pop(F.when(r < 0, r)).alias("_down"),
-        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("bar_win_rate"),
-    )
-    tail = tail_quantile(rows, keys, "return", 0.05)
-    out = moments.join(drawdowns(rows, keys), keys).join(tail, keys)
+    out = distribution(rows, keys, "return", 0.05).join(drawdowns(rows, keys), keys)
     return out.select(
         *keys,
-        "bars",
+        F.col("count").alias("bars"),
         (ratio(F.col("growth"), F.col("first_growth")) - 1).alias("total_return"),
-        "expectancy",
-        _scaled(F.col("expectancy"), F.col("_std"), bars_per_year).alias("sharpe"),
-        _scaled(F.col("expectancy"), F.col("_down"), bars_per_year).alias("sortino"),
+        F.col("mean").alias("expectancy"),
+        _scaled(F.col("mean"), F.col("deviation"), bars_per_year).alias("sharpe"),
+        _scaled(F.col("mean"), F.col("down_deviation"), bars_per_year).alias("sortino"),
         "max_drawdown",
         F.col("quantile").alias("var_95"),
         F.col("tail_mean").alias("cvar_95"),
-        "bar_win_rate",
+        F.col("share_above").alias("bar_win_rate"),
     )
 
 

@@ -69,3 +69,38 @@ def test_tail_quantile_is_exact(spark, monkeypatch):
         q = np.percentile(values, 5)
         assert rows[k]["quantile"] == pytest.approx(q, abs=1e-12)
         assert rows[k]["tail_mean"] == pytest.approx(values[values <= q + 1e-12].mean(), abs=1e-12)
+
+
+def test_distribution_by_rounds_of_counts(spark, monkeypatch):
+    """Bins that hold more rows than are sorted at once are split until they don't; ties, zeros and huge values included."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    groups = {
+        "close": 1.0 + rng.integers(0, 3_000, 6_000) * 2.0**-52,  # neighbouring doubles
+        "ties": np.repeat([-2.0, 0.0, 3.0], [200, 3_000, 800]),
+        "flat": np.full(3_000, 0.25),
+        "wide": np.concatenate([rng.normal(0, 1e-5, 4_000), [1e300, -1e300, 5e-324, -5e-324]]),
+        "none": np.zeros(50),
+        "edge": np.arange(1.0, 22.0),
+    }
+    pdf = pd.DataFrame([(k, float(v)) for k, values in groups.items() for v in values], columns=["k", "x"])
+    df = from_pandas(spark, pdf)
+    for small in (1, 50, 10_000):
+        monkeypatch.setattr(quantiles, "SMALL", small)
+        for p in (0.05, 0.5, 1.0):
+            rows = {r["k"]: r for r in quantiles.distribution(df, ["k"], "x", p).collect()}
+            assert set(rows) == set(groups)
+            for k, values in groups.items():
+                at = (len(values) - 1) * p
+                low, high = np.sort(values)[[int(np.floor(at)), int(np.ceil(at))]]
+                assert rows[k]["quantile"] == pytest.approx(low + (at - np.floor(at)) * (high - low), rel=1e-15)
+                assert rows[k]["count"] == len(values)
+                assert rows[k]["share_above"] == pytest.approx((values > 0).mean())
+                if k != "wide":
+                    assert rows[k]["tail_mean"] == pytest.approx(values[values <= low].mean(), rel=1e-12)
+                    assert rows[k]["mean"] == pytest.approx(values.mean(), rel=1e-12)
+                    assert rows[k]["deviation"] == pytest.approx(values.std(), rel=1e-6, abs=1e-15)
+    assert rows["flat"]["deviation"] == 0.0 and rows["flat"]["down_deviation"] is None
+    assert rows["ties"]["down_deviation"] == 0.0
+    assert quantiles.distribution(df.limit(0), ["k"], "x", 0.05).count() == 0
