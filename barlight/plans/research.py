@@ -112,10 +112,14 @@ def run(bars: DataFrame, store: RunStore, run_id: str, s: Settings = Settings())
         """Each symbol's rows go under the model that was chosen for it."""
         store.write_by_model(table, df.join(best, "symbol"), run_id)
 
+    def finish() -> tm.Detection:
+        """The run's row comes last: what lists runs by it never meets a run that is half written."""
+        store.write("runs", run_row(clean.load_summary(bars), run_id, "regime_only" if s.regime_only else "full", **asdict(s)), run_id)
+        return found
+
     store.write("models", models, run_id)
     if found.skipped is not None:
         store.write("skipped_models", found.skipped, run_id)
-    store.write("runs", run_row(clean.load_summary(bars), run_id, "regime_only" if s.regime_only else "full", **asdict(s)), run_id)
     for table, df in {
         "bars": bars, "regime_labels": labels, "regime_stats": found.stats, "regime_transitions": found.transitions,
         "regime_stability": found.stability, "price_regimes": regimes,
@@ -132,7 +136,7 @@ def run(bars: DataFrame, store: RunStore, run_id: str, s: Settings = Settings())
         save("oos_regime_model_rankings", found.scores.drop("model_id"))
         save("oos_regime_blocks", found.blocks)
     if s.regime_only:
-        return found
+        return finish()
 
     learned_names = [m for m in classify.LEARNED if m in s.strategies]
     learned = staged(classify.learned_signals(bars, learned_names)) if learned_names else None
@@ -165,4 +169,4 @@ def run(bars: DataFrame, store: RunStore, run_id: str, s: Settings = Settings())
     save("monte_carlo_paths", stress.paths)
     save("monte_carlo_bands", rp.path_bands(stress.equity, st.SCENARIO))
     save("monte_carlo_terminal", rp.terminal_frame(stress.equity, s.capital))
-    return found
+    return finish()
