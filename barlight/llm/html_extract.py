@@ -2,8 +2,9 @@
 
 Pages of a host are parsed to trees of elements and each is aligned by simple tree matching with a base page: the largest set of pairs
 of nodes, in order and with equal names, below equal parents. Blocks of text that a share of all pages of the host has in the matching
-place are its template; the rest is content. The lowest element that holds nearly all varying text is the wrapper's
-content region. Elements that by their name or role never are main text (menus, forms, scripts ...) are left out on any page.
+place are its template; the rest is content. The lowest element of the base that holds nearly all varying text is the wrapper's
+content region, and the element of a page that is matched with it holds the page's content. Elements that by their name or role never
+are main text (menus, forms, scripts ...) are left out on any page.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from hashlib import blake2b
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,14 @@ SCOPE = set("table ul ol dl html body article section div".split())
 LEFT_OUT = RAW | set("head nav footer aside form button select template svg canvas object audio video dialog menu label".split())
 ROLES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notice|pagination|popup|promo\w*|recommended|related|search|share|sharing|sidebar|site-header|page-header|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[-_\s])", re.IGNORECASE)
 REGION = {"article", "main"}
+HEADS = {"h1", "h2"}
 CONTAINERS = set("article body div main section td".split())
 SHARE = 0.6  # of a host's pages have a template's block; three pages at least
 GROUP_PAGES = 48  # pages aligned with one base
+NEARLY = 0.9  # of the varying text is in the content region
 DEEPEST = 200
+MOST_KNOWN = 1_000_000  # sizes of matchings that are kept
+MOST_CELLS = 1_000_000  # of a table of sizes that is kept
 
 
 @dataclass
@@ -46,6 +52,7 @@ class Node:
     tag: str
     attributes: str = ""
     children: list[Node | str] = field(default_factory=list)
+    shape: int = -1  # its number in Shapes
 
 
 def parsed(page: str) -> Node:
@@ -148,124 +155,235 @@ def blocks_of(root: Node) -> list[tuple[tuple[Node, ...], str]]:
     return out
 
 
-def matching(a: Node, b: Node, pairs: dict[int, Node]) -> int:
+class Shapes:
+    """Sizes of largest matchings. What a matching counts depends on the elements' names alone, so equal trees share a number."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.nodes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def number(self, node: Node) -> int:
+        below = tuple(self.number(c) for c in elements(node))
+        node.shape = self.numbers.setdefault((node.tag, below), len(self.tags))
+        if node.shape == len(self.tags):
+            self.tags.append(node.tag)
+            self.below.append(below)
+            self.nodes.append(1 + sum(self.nodes[c] for c in below))
+        return node.shape
+
+    def size(self, x: int, y: int) -> int:
+        """Nodes in the largest matching of two trees."""
+        if self.tags[x] != self.tags[y]:
+            return 0
+        if x == y:
+            return self.nodes[x]
+        if not self.below[x] or not self.below[y]:
+            return 1
+        found = self.known.get((x, y))
+        if found is None:
+            left, right, start, end = trimmed(self.below[x], self.below[y])
+            found = 1 + sum(self.nodes[c] for c in self.below[x][:start] + self.below[x][len(self.below[x]) - end :])
+            if left and right:
+                found += int(self.row(left, right)[-1])
+            if len(self.known) > MOST_KNOWN:
+                self.known.clear()
+            self.known[x, y] = found
+        return found
+
+    def rows(self, left: tuple[int, ...], right: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """The rows of the table of sizes: for each beginning of left, with each beginning of right."""
+        distinct, place = np.unique(np.array(right, np.int64), return_inverse=True)
+        distinct = distinct.tolist()
+        gains: dict[int, np.ndarray] = {}
+        row = np.zeros(len(right) + 1, np.int64)
+        yield row
+        for x in left:
+            gain = gains.get(x)
+            if gain is None:
+                gain = np.array([self.size(x, y) for y in distinct], np.int64)
+                if len(gains) * len(distinct) < MOST_KNOWN:
+                    gains[x] = gain
+            following = row.copy()
+            np.maximum(row[1:], row[:-1] + gain[place], out=following[1:])
+            row = np.maximum.accumulate(following)
+            yield row
+
+    def row(self, left: tuple[int, ...], right: tuple[int, ...]) -> np.ndarray:
+        """The last of the rows."""
+        last = None
+        for last in self.rows(left, right):
+            pass
+        return last
+
+    def partners(self, left: tuple[int, ...], right: tuple[int, ...], at: int = 0, to: int = 0) -> list[tuple[int, int]]:
+        """Places of the matched trees of two lists. A large table isn't kept but cut in the middle of left, where the best place of right follows from both halves."""
+        if not left or not right:
+            return []
+        if len(left) > 1 and len(left) * len(right) > MOST_CELLS:
+            half = len(left) // 2
+            cut = int(np.argmax(self.row(left[:half], right) + self.row(left[half:][::-1], right[::-1])[::-1]))
+            return self.partners(left[:half], right[:cut], at, to) + self.partners(left[half:], right[cut:], at + half, to + cut)
+        best = list(self.rows(left, right))
+        out = []
+        i, j = len(left), len(right)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((at + i, to + j))
+        return out[::-1]
+
+
+def elements(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node)]
+
+
+def trimmed(left: tuple[int, ...], right: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+    """What lies between the equal trees at both ends, and how many those are: they match each other in a largest matching."""
+    least = min(len(left), len(right))
+    start = next((i for i in range(least) if left[i] != right[i]), least)
+    end = next((i for i in range(least - start) if left[-1 - i] != right[-1 - i]), least - start)
+    return left[start : len(left) - end], right[start : len(right) - end], start, end
+
+
+def matching(a: Node, b: Node, pairs: dict[int, Node], shapes: Shapes | None = None) -> int:
     """Simple tree matching: size of the largest matching of two trees; pairs gets the partner of each matched node of a.
 
-    Equal runs of children at both ends are paired directly; the table of sizes is made for what lies between.
+    Sizes come first, from rows of tables; partners are looked up on the way down, for matched nodes only, so memory stays in proportion
+    to the pages. Trees with unlike roots don't match. Pass the shapes if b has been numbered with them.
     """
-    pairs[id(a)] = b
-    left, right = ([c for c in n.children if isinstance(c, Node)] for n in (a, b))
-    total = 1
-    start = 0
-    while start < min(len(left), len(right)) and left[start].tag == right[start].tag:
-        total += matching(left[start], right[start], pairs)
-        start += 1
-    end = 0
-    while end < min(len(left), len(right)) - start and left[-1 - end].tag == right[-1 - end].tag:
-        total += matching(left[-1 - end], right[-1 - end], pairs)
-        end += 1
-    left, right = left[start : len(left) - end], right[start : len(right) - end]
-    if not left or not right:
-        return total
-    kept: dict[tuple[int, int], tuple[int, dict[int, Node]]] = {}
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            size = 0
-            if x.tag == y.tag:
-                own: dict[int, Node] = {}
-                size = matching(x, y, own)
-                kept[i, j] = size, own
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size)
-    i, j = len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs.update(kept[i - 1, j - 1][1])
-            i, j = i - 1, j - 1
-    return total + best[len(left)][len(right)]
+    if shapes is None:
+        shapes = Shapes()
+        shapes.number(b)
+    shapes.number(a)
+    if a.tag != b.tag:
+        return 0
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs[id(x)] = y
+        left, right = elements(x), elements(y)
+        if x.shape == y.shape:
+            todo += zip(left, right, strict=True)
+            continue
+        of_left, of_right, start, end = trimmed(shapes.below[x.shape], shapes.below[y.shape])
+        todo += zip(left[:start], right[:start], strict=True)
+        todo += zip(left[len(left) - end :], right[len(right) - end :], strict=True)
+        todo += [(left[start + i], right[start + j]) for i, j in shapes.partners(of_left, of_right)]
+    return shapes.size(a.shape, b.shape)
 
 
 def signature(around: tuple[Node, ...]) -> tuple[str, ...]:
     return tuple(n.tag for n in around)
 
 
+def in_order(root: Node) -> Iterator[tuple[int, Node]]:
+    """All elements with their depth, parents first."""
+    todo = [(0, root)]
+    while todo:
+        depth, node = todo.pop()
+        yield depth, node
+        todo += [(depth + 1, c) for c in reversed(elements(node))]
+
+
+def skeleton(root: Node) -> str:
+    """The names of a tree's elements, each after its depth."""
+    return " ".join(f"{depth}{node.tag}" for depth, node in in_order(root))
+
+
+def from_skeleton(text: str) -> Node:
+    path: list[Node] = []
+    for word in text.split(" "):
+        depth = re.match("[0-9]+", word)[0]
+        node = Node(word[len(depth) :])
+        del path[int(depth) :]
+        if path:
+            path[-1].children.append(node)
+        path.append(node)
+    return path[0]
+
+
 @dataclass
 class Wrapper:
-    """What the aligned pages of a host share: constant blocks, and the signature of the content region if it is sure."""
-
-    constant: frozenset[tuple[tuple[str, ...], str]] = frozenset()
-    region: tuple[str, ...] | None = None
-
-
-def induced(pages: list[Node]) -> Wrapper:
-    """Align all pages with the first one. Constant: found in the matching place of every other page, three pages at least."""
-    read = [blocks_of(p) for p in pages]
-    # Copies of one article would make its text look constant: pages with the same longest own block count once.
-    everywhere = set.intersection(*({t for _, t in blocks} for blocks in read)) if read else set()
-    distinct: dict[str, int] = {}
-    for i, blocks in enumerate(read):
-        distinct.setdefault(max((t for _, t in blocks if t not in everywhere), key=len, default=""), i)
-    chosen = [i for i in distinct.values() if read[i]]
-    if len(chosen) < 3:
-        return Wrapper()
-    base = chosen[0]
-    constant = {(signature(a), t) for a, t in read[base]}
-    for other in chosen[1:]:
-        pairs: dict[int, Node] = {}
-        matching(pages[base], pages[other], pairs)
-        there: dict[int, set[str]] = {}
-        for around, text in read[other]:
-            there.setdefault(id(around[-1]), set()).add(text)
-        same = {(signature(a), t) for a, t in read[base] if id(a[-1]) in pairs and t in there.get(id(pairs[id(a[-1])]), ())}
-        constant &= same
-    # A constant block of an article whose text is mostly constant is rather a copied passage than a template.
+    """What the pages of a host share: constant blocks (hashes); the base page's elements and which of them holds the content."""
+
+    constant: frozenset[int] = frozenset()
+    base: Node | None = None
+    region: Node | None = None
+    shapes: Shapes = field(default_factory=Shapes)
+
+    def with_base(self, names: str, region: int) -> Wrapper:
+        base = from_skeleton(names)
+        found = Wrapper(self.constant, base, next(n for i, (_, n) in enumerate(in_order(base)) if i == region))
+        found.shapes.number(base)
+        return found
+
+
+def tagged(node: Node) -> bool:
+    return node.tag in REGION or "articleBody" in node.attributes
+
+
+def content_region(base: Node, varying: list[tuple[list[Node], int]]) -> Node | None:
+    """The lowest element of the base that holds nearly all varying text, and nearly all headings; none if that is the body.
+
+    varying: the base's elements around each varying block, and the block's length. An element whose name says that it is the article
+    has a vote for that: half of the text is enough there, and nothing below it is tried.
+    """
     mass: Counter = Counter()
+    heads: Counter = Counter()
     total = 0
-    for i in chosen:
-        blocks = read[i]
-        size = sum(len(t) for _, t in blocks)
-        same = sum(len(t) for a, t in blocks if (signature(a), t) in constant)
-        if 2 * same > size:
-            return Wrapper()
-        for around, text in blocks:
-            if (signature(around), text) not in constant:
-                total += len(text)
-                for depth in range(1, len(around) + 1):
-                    mass[signature(around[:depth])] += len(text)
-    sure = [s for s, n in mass.items() if n >= 0.98 * total and s[-1] in CONTAINERS]
-    return Wrapper(frozenset(constant), max(sure, key=len, default=None))
+    for around, size in varying:
+        total += size
+        head = any(n.tag in HEADS for n in around)
+        for n in around:
+            mass[id(n)] += size
+            if head:
+                heads[id(n)] += size
+    found, here, depth = None, base, 0
+    while total:
+        below = max(elements(here), key=lambda n: (mass[id(n)], tagged(n)), default=None)
+        if below is None:
+            break
+        sure = mass[id(below)] >= NEARLY * total and heads[id(below)] >= NEARLY * heads[id(base)]
+        named = tagged(below) and 2 * mass[id(below)] >= total
+        if not named and (not sure or tagged(here)):
+            break
+        here, depth = below, depth + 1
+        if depth > 2 and here.tag in CONTAINERS:
+            found = here
+    return found
 
 
 def main_text(root: Node, wrapper: Wrapper) -> str:
-    """Blocks of the article, or of the page where it has none, without the template's constant ones."""
-    blocks = blocks_of(root)
-    in_region = [(a, t) for a, t in blocks if any(n.tag in REGION or "articleBody" in n.attributes for n in a)]
-    if not in_region and wrapper.region and len(wrapper.region) > 3:
-        in_region = [(a, t) for a, t in blocks if signature(a)[: len(wrapper.region)] == wrapper.region]
-    blocks = in_region or blocks
-    return " ".join(t for a, t in blocks if (signature(a), t) not in wrapper.constant)
+    """Blocks of the content region without the template's constant ones.
 
-
-class Keys(frozenset):
-    """Constant blocks of a host by hash."""
-
-    def __contains__(self, block: tuple[tuple[str, ...], str]) -> bool:
-        return super().__contains__(block_key(*block))
+    Where no region was induced, or the page has nothing in it, the page's own article or main element stands for it, else the whole page.
+    """
+    blocks = blocks_of(root)
+    inside = []
+    if wrapper.region is not None:
+        pairs: dict[int, Node] = {}
+        matching(root, wrapper.base, pairs, wrapper.shapes)
+        inside = [(a, t) for a, t in blocks if any(pairs.get(id(n)) is wrapper.region for n in a)]
+    inside = inside or [(a, t) for a, t in blocks if any(tagged(n) for n in a)] or blocks
+    return " ".join(t for a, t in inside if not wrapper.constant or block_key(signature(a), t) not in wrapper.constant)
 
 
 def block_key(place: tuple[str, ...], text: str) -> int:
     return int.from_bytes(blake2b("\0".join((*place, text)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-FOUND = pa.schema([("host", pa.string()), ("place", pa.string()), ("block", pa.int64()), ("page", pa.int64()), ("size", pa.int64()), ("matched", pa.bool_())])
+FOUND = pa.schema([("host", pa.string()), ("grp", pa.int64()), ("block", pa.int64()), ("page", pa.int64()), ("matched", pa.bool_()), ("base", pa.string()), ("region", pa.int64())])
 
 
 def found_blocks(group: pa.Table) -> pa.Table:
-    """The blocks of every page of a group, and whether they stand in an element that is matched with one of the base.
+    """The blocks of every page of a group, and whether they stand in an element that is matched with one of the base; one row for base and region.
 
     The base is the page with most blocks that other pages have too. `page` is the hash of the longest block of a page's own, so that
     copies of an article count once.
@@ -278,39 +396,41 @@ def found_blocks(group: pa.Table) -> pa.Table:
         return FOUND.empty_table()
     count = Counter(b for i in keep for b in {(s, t) for _, t, s in read[i]})
     base = max(keep, key=lambda i: sum(count[b] - 1 for b in {(s, t) for _, t, s in read[i]}))
+    shapes = Shapes()
+    shapes.number(trees[base])
     rows: dict[tuple[int, int], tuple] = {}
+    host, grp = group.column("host")[0].as_py(), group.column("grp")[0].as_py()
+    varying: dict[int, list[tuple[list[Node], int]]] = {}
     for i in keep:
         pairs: dict[int, Node] = {}
-        matching(trees[i], trees[base], pairs)
-        own = [t for _, t, s in read[i] if len(keep) == 1 or count[s, t] < SHARE * len(keep)]
-        page = block_key((), max(own, key=len, default=""))
+        matching(trees[i], trees[base], pairs, shapes)
+        own = [(a, t) for a, t, s in read[i] if len(keep) == 1 or count[s, t] < SHARE * len(keep)]
+        page = block_key((), max((t for _, t in own), key=len, default=""))
+        if own and page not in varying:
+            varying[page] = [([pairs[id(n)] for n in a if id(n) in pairs], len(t)) for a, t in own]
         for around, text, place in read[i]:
             key, matched = block_key(place, text), id(around[-1]) in pairs
             if matched or (key, page) not in rows:
-                rows[key, page] = ("/".join(place), key, page, len(text), matched)
-    host = group.column("host")[0].as_py()
-    return pa.table([pa.array([host] * len(rows), pa.string()), *(pa.array(c) for c in zip(*rows.values(), strict=True))], schema=FOUND)
-
-
-def wrappers(rows: DataFrame) -> DataFrame:
-    """host, aligned (its distinct pages), constant (hashes of template blocks) and region of every host with three pages at least."""
-    found = staged(rows.filter("host <> ''").groupBy("host", "grp").applyInArrow(found_blocks, "host string, place string, block bigint, page bigint, size bigint, matched boolean"))
-    pages = staged(found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("aligned")).filter("aligned >= 3"))
+                rows[key, page] = (host, grp, key, page, matched, None, None)
+    found = list(rows.values())
+    region = content_region(trees[base], [v for own in varying.values() for v in own]) if len(varying) >= 3 else None
+    if region is not None:
+        found.append((host, grp, None, None, None, skeleton(trees[base]), next(i for i, (_, n) in enumerate(in_order(trees[base])) if n is region)))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), FOUND, strict=True)], schema=FOUND)
+
+
+def wrappers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By host with three pages at least: aligned (its distinct pages) and constant (hashes of template blocks). By group of a host: base and region."""
+    kinds = "host string, grp bigint, block bigint, page bigint, matched boolean, base string, region bigint"
+    found = staged(rows.filter("host <> ''").groupBy("host", "grp").applyInArrow(found_blocks, kinds))
+    blocks = found.filter("block is not null")
+    pages = staged(blocks.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("aligned")).filter("aligned >= 3"))
     # Copies in several groups count once. Sums are made before anything moves.
-    once = found.groupBy("host", "place", "block", "page").agg(F.max("matched").alias("matched"), F.max("size").alias("size"))
-    blocks = once.groupBy("host", "place", "block").agg(F.count_if("matched").alias("pages"), F.sum("size").alias("size"))
-    blocks = blocks.join(pages, "host").withColumn("constant", (F.col("pages") >= 3) & (F.col("pages") >= SHARE * F.col("aligned")))
-    # One row for each host and place: what is constant there and how much isn't.
-    places = staged(blocks.groupBy("host", "place").agg(F.sum("size").alias("size"), F.sum(F.when(~F.col("constant"), F.col("size")).otherwise(0)).alias("own"), F.collect_list(F.when(F.col("constant"), F.col("block"))).alias("constant")))
-    hosts = places.groupBy("host").agg(F.sum("size").alias("size"), F.sum("own").alias("total"), F.flatten(F.collect_list("constant")).alias("constant"))
-    # Where most text is constant it is rather a copied passage than a template.
-    hosts = staged(hosts.filter("2 * total >= size").join(pages, "host").select("host", "aligned", "total", "constant"))
-    path = F.split("place", "/")
-    above = places.select("host", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, 1, n))).alias("region"))
-    mass = above.groupBy("host", "region").agg(F.sum("own").alias("own")).join(hosts.select("host", "total"), "host")
-    sure = mass.filter(F.col("own") >= 0.98 * F.col("total")).filter(F.element_at("region", -1).isin(*CONTAINERS))
-    region = sure.groupBy("host").agg(F.max(F.struct(F.size("region").alias("depth"), "region"))["region"].alias("region"))
-    return staged(hosts.join(region, "host", "left").select("host", F.col("aligned").cast("int").alias("aligned"), "constant", "region"))
+    once = blocks.groupBy("host", "block", "page").agg(F.max("matched").alias("matched"))
+    shared = once.groupBy("host", "block").agg(F.count_if("matched").alias("pages")).filter("pages >= 3").join(pages, "host")
+    constant = shared.filter(F.col("pages") >= SHARE * F.col("aligned")).groupBy("host").agg(F.collect_list("block").alias("constant"))
+    hosts = staged(pages.join(constant, "host", "left").select("host", F.col("aligned").cast("int").alias("aligned"), "constant"))
+    return hosts, staged(found.filter("base is not null").select("host", "grp", "base", "region"))
 
 
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("aligned", pa.int32())])
@@ -319,31 +439,42 @@ EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", p
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page, and how many pages its host's wrapper was induced from.
 
-    Hosts are dealt out in groups of about GROUP_PAGES pages; a group aligns all its pages with its base, the blocks found are
-    counted over the whole host, and every page of the host is read with one wrapper. Pages whose url is null or names no host have no
+    Hosts are dealt out in groups of about GROUP_PAGES pages; a group aligns all its pages with its base and finds the content region there;
+    constant blocks are counted over the whole host. A page is aligned with its group's base again when it is read. Pages whose url is null or names no host have no
     wrapper. Null html is empty, and an empty page has an empty text. Rows that repeat are read each; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    rows = given.withColumn("order", F.xxhash64("page_id", "url"))
+    ordered = given.withColumn("order", F.xxhash64("page_id", "url"))
     # One row for each host, written first: the planner broadcasts it only if it is small, else shuffles both sides.
-    sizes = staged(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")))
-    rows = rows.join(sizes, "host")
-    rows = rows.withColumn("grp", F.pmod("order", F.col("groups"))).select("host", "grp", "order", "page_id", "html")
+    sizes = staged(ordered.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")))
+    rows = ordered.join(sizes, "host").withColumn("grp", F.pmod("order", F.col("groups"))).drop("groups")
+    hosts, bases = wrappers(rows.select("host", "grp", "order", "page_id", "html"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Wrapper] = {}
+        by_host: dict[str, Wrapper] = {}
+        by_group: dict[tuple[str, int], Wrapper] = {}
+
+        def known(host: str, grp: int, constant: pa.Scalar, base: pa.Scalar, region: pa.Scalar) -> Wrapper:
+            if host not in by_host:
+                if len(by_host) > 1000:
+                    by_host.clear()
+                by_host[host] = Wrapper(frozenset(constant.as_py() or ()))
+            if not base.is_valid:
+                return by_host[host]
+            if (host, grp) not in by_group:
+                if len(by_group) > 100:
+                    by_group.clear()
+                by_group[host, grp] = by_host[host].with_base(base.as_py(), region.as_py())
+            return by_group[host, grp]
+
         for batch in batches:
+            of = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             texts = []
-            hosts, constant, region, bodies = (batch.column(batch.schema.get_field_index(c)) for c in ("host", "constant", "region", "html"))
             for i in range(batch.num_rows):
-                name = hosts[i].as_py()
-                if name not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[name] = Wrapper(Keys(constant[i].as_py() or ()), tuple(region[i].as_py() or ()) or None)
-                texts.append(main_text(parsed(bodies[i].as_py() or ""), known[name]))
-            aligned = batch.column(batch.schema.get_field_index("aligned")).fill_null(0)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string()), aligned], schema=EXTRACTED)
-
-    return given.join(wrappers(rows), "host", "left").select("page_id", "url", "html", "host", "aligned", "constant", "region").mapInArrow(read, "page_id bigint, url string, text string, aligned int")
+                wrapper = known(of["host"][i].as_py(), of["grp"][i].as_py(), of["constant"][i], of["base"][i], of["region"][i])
+                texts.append(main_text(parsed(of["html"][i].as_py() or ""), wrapper))
+            yield pa.RecordBatch.from_arrays([of["page_id"], of["url"], pa.array(texts, pa.string()), of["aligned"].fill_null(0)], schema=EXTRACTED)
+
+    read_with = rows.join(hosts, "host", "left").join(bases, ["host", "grp"], "left")
+    return read_with.select("page_id", "url", "html", "host", "grp", "aligned", "constant", "base", "region").mapInArrow(read, "page_id bigint, url string, text string, aligned int")
