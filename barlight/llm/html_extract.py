@@ -43,7 +43,8 @@ SHARE = 0.6  # of a host's pages have a template's block; three pages at least
 GROUP_PAGES = 48  # pages aligned with one base
 NEARLY = 0.9  # of the varying text is in the content region
 DEEPEST = 200
-MOST_KNOWN = 1_000_000  # sizes of matchings that are kept
+MOST_KNOWN = 1_000_000  # sizes of matchings, and characters of skeletons, that are kept
+MOST_SHAPES = 100_000
 MOST_CELLS = 1_000_000  # of a table of sizes that is kept
 
 
@@ -193,8 +194,19 @@ class Shapes:
             self.known[x, y] = found
         return found
 
-    def rows(self, left: tuple[int, ...], right: tuple[int, ...]) -> Iterator[np.ndarray]:
+    def rows(self, left: tuple[int, ...], right: tuple[int, ...]) -> Iterator[np.ndarray | list[int]]:
         """The rows of the table of sizes: for each beginning of left, with each beginning of right."""
+        if len(left) * len(right) <= 1000:
+            before = [0] * (len(right) + 1)
+            yield before
+            for x in left:
+                following, most = [0], 0
+                for j, y in enumerate(right):
+                    most = max(most, before[j + 1], before[j] + self.size(x, y) if self.tags[x] == self.tags[y] else 0)
+                    following.append(most)
+                before = following
+                yield before
+            return
         distinct, place = np.unique(np.array(right, np.int64), return_inverse=True)
         distinct = distinct.tolist()
         gains: dict[int, np.ndarray] = {}
@@ -211,7 +223,7 @@ class Shapes:
             row = np.maximum.accumulate(following)
             yield row
 
-    def row(self, left: tuple[int, ...], right: tuple[int, ...]) -> np.ndarray:
+    def row(self, left: tuple[int, ...], right: tuple[int, ...]) -> np.ndarray | list[int]:
         """The last of the rows."""
         last = None
         for last in self.rows(left, right):
@@ -224,7 +236,7 @@ class Shapes:
             return []
         if len(left) > 1 and len(left) * len(right) > MOST_CELLS:
             half = len(left) // 2
-            cut = int(np.argmax(self.row(left[:half], right) + self.row(left[half:][::-1], right[::-1])[::-1]))
+            cut = int(np.argmax(np.asarray(self.row(left[:half], right)) + np.asarray(self.row(left[half:][::-1], right[::-1]))[::-1]))
             return self.partners(left[:half], right[:cut], at, to) + self.partners(left[half:], right[cut:], at + half, to + cut)
         best = list(self.rows(left, right))
         out = []
@@ -268,17 +280,29 @@ def matching(a: Node, b: Node, pairs: dict[int, Node], shapes: Shapes | None = N
     while todo:
         x, y = todo.pop()
         pairs[id(x)] = y
-        left, right = elements(x), elements(y)
-        if x.shape == y.shape:
-            todo += zip(left, right, strict=True)
-            continue
-        of_left, of_right, start, end = trimmed(shapes.below[x.shape], shapes.below[y.shape])
-        todo += zip(left[:start], right[:start], strict=True)
-        todo += zip(left[len(left) - end :], right[len(right) - end :], strict=True)
-        todo += [(left[start + i], right[start + j]) for i, j in shapes.partners(of_left, of_right)]
+        todo += matched_children(x, y, shapes)
     return shapes.size(a.shape, b.shape)
 
 
+def matched_children(x: Node, y: Node, shapes: Shapes) -> list[tuple[Node, Node]]:
+    left, right = elements(x), elements(y)
+    if x.shape == y.shape:
+        return list(zip(left, right, strict=True))
+    of_left, of_right, start, end = trimmed(shapes.below[x.shape], shapes.below[y.shape])
+    out = list(zip(left[:start], right[:start], strict=True))
+    out += zip(left[len(left) - end :], right[len(right) - end :], strict=True)
+    return out + [(left[start + i], right[start + j]) for i, j in shapes.partners(of_left, of_right)]
+
+
+def partner(root: Node, path: list[Node], shapes: Shapes) -> Node | None:
+    """The node of a page that is matched with the last of a path of the base's nodes; only that path is followed."""
+    shapes.number(root)
+    here = root if root.tag == path[0].tag else None
+    for above, below in zip(path, path[1:], strict=False):
+        here = here and next((x for x, y in matched_children(here, above, shapes) if y is below), None)
+    return here
+
+
 def signature(around: tuple[Node, ...]) -> tuple[str, ...]:
     return tuple(n.tag for n in around)
 
@@ -311,18 +335,22 @@ def from_skeleton(text: str) -> Node:
 
 @dataclass
 class Wrapper:
-    """What the pages of a host share: constant blocks (hashes); the base page's elements and which of them holds the content."""
+    """What the pages of a host share: constant blocks (hashes); the base page's elements from its root to the one that holds the content."""
 
     constant: frozenset[int] = frozenset()
-    base: Node | None = None
-    region: Node | None = None
-    shapes: Shapes = field(default_factory=Shapes)
+    region: tuple[Node, ...] = ()
+    shapes: Shapes | None = None
 
-    def with_base(self, names: str, region: int) -> Wrapper:
+    def with_base(self, names: str, region: int, shapes: Shapes) -> Wrapper:
+        """With the base of a skeleton, numbered in shapes, and its element number `region`."""
         base = from_skeleton(names)
-        found = Wrapper(self.constant, base, next(n for i, (_, n) in enumerate(in_order(base)) if i == region))
-        found.shapes.number(base)
-        return found
+        shapes.number(base)
+        path: list[Node] = []
+        for i, (depth, node) in enumerate(in_order(base)):
+            path[depth:] = [node]
+            if i == region:
+                break
+        return Wrapper(self.constant, tuple(path), shapes)
 
 
 def tagged(node: Node) -> bool:
@@ -367,10 +395,9 @@ def main_text(root: Node, wrapper: Wrapper) -> str:
     """
     blocks = blocks_of(root)
     inside = []
-    if wrapper.region is not None:
-        pairs: dict[int, Node] = {}
-        matching(root, wrapper.base, pairs, wrapper.shapes)
-        inside = [(a, t) for a, t in blocks if any(pairs.get(id(n)) is wrapper.region for n in a)]
+    if wrapper.region:
+        region = partner(root, wrapper.region, wrapper.shapes)
+        inside = [(a, t) for a, t in blocks if any(n is region for n in a)]
     inside = inside or [(a, t) for a, t in blocks if any(tagged(n) for n in a)] or blocks
     return " ".join(t for a, t in inside if not wrapper.constant or block_key(signature(a), t) not in wrapper.constant)
 
@@ -454,8 +481,10 @@ def extract(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host: dict[str, Wrapper] = {}
         by_group: dict[tuple[str, int], Wrapper] = {}
+        shapes, held = Shapes(), 0  # held: characters of skeletons
 
         def known(host: str, grp: int, constant: pa.Scalar, base: pa.Scalar, region: pa.Scalar) -> Wrapper:
+            nonlocal shapes, held
             if host not in by_host:
                 if len(by_host) > 1000:
                     by_host.clear()
@@ -463,9 +492,11 @@ def extract(pages: DataFrame) -> DataFrame:
             if not base.is_valid:
                 return by_host[host]
             if (host, grp) not in by_group:
-                if len(by_group) > 100:
+                held += len(base.as_py())
+                if held > MOST_KNOWN or len(shapes.tags) > MOST_SHAPES:
                     by_group.clear()
-                by_group[host, grp] = by_host[host].with_base(base.as_py(), region.as_py())
+                    shapes, held = Shapes(), len(base.as_py())
+                by_group[host, grp] = by_host[host].with_base(base.as_py(), region.as_py(), shapes)
             return by_group[host, grp]
 
         for batch in batches:
